@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, license_scan, minhash_dedup, mixing, quality_rules, substring_dedup, url_filter
+from . import chat_format, license_scan, minhash_dedup, mixing, packing, quality_rules, substring_dedup, url_filter
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -22,6 +22,17 @@ def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(_read(spark, sf_dir, "documents"))
 
 
+def vocabulary(name: str = "word_bpe_49k.json") -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = packing.pack(_read(spark, sf_dir, "documents"), vocabulary())
+    return pieces.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
+
+
 def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = "</s>[INST] ok [/INST]"
     turns = _read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
@@ -54,6 +65,7 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash_dedup": op1_minhash_dedup,
     "op2_license_scan": op2_license_scan,
+    "op3_packing": op3_packing,
     "op6_chat_format": op6_chat_format,
     "op7_url_filter": op7_url_filter,
     "op8_quality_rules": op8_quality_rules,
