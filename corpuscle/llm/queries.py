@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, license_scan, minhash_dedup, mixing, packing, quality_rules, substring_dedup, url_filter
+from . import chat_format, license_scan, minhash_dedup, mixing, packing, quality_rules, substring_dedup, toxicity, url_filter
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -33,6 +33,13 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents")
+    labels = _read(spark, sf_dir, "labels").where(~toxicity.held_out(F.col("doc_id")))
+    scored = toxicity.score(docs, toxicity.train(docs, labels))
+    return scored.select("doc_id", F.coalesce(toxicity.held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), "score", "predicted")
+
+
 def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = "</s>[INST] ok [/INST]"
     turns = _read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
@@ -66,6 +73,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash_dedup": op1_minhash_dedup,
     "op2_license_scan": op2_license_scan,
     "op3_packing": op3_packing,
+    "op5_toxicity": op5_toxicity,
     "op6_chat_format": op6_chat_format,
     "op7_url_filter": op7_url_filter,
     "op8_quality_rules": op8_quality_rules,
