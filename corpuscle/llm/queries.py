@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, license_scan, minhash_dedup, mixing, packing, quality_rules, substring_dedup, toxicity, url_filter
+from . import chat_format, fingerprints, license_scan, minhash_dedup, mixing, packing, quality_rules, substring_dedup, toxicity, url_filter
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -33,6 +33,10 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 
+def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.edited(_read(spark, sf_dir, "documents"))
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents")
     labels = _read(spark, sf_dir, "labels").where(~toxicity.held_out(F.col("doc_id")))
@@ -73,6 +77,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash_dedup": op1_minhash_dedup,
     "op2_license_scan": op2_license_scan,
     "op3_packing": op3_packing,
+    "op4_fingerprints": op4_fingerprints,
     "op5_toxicity": op5_toxicity,
     "op6_chat_format": op6_chat_format,
     "op7_url_filter": op7_url_filter,
