@@ -132,7 +132,7 @@ def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str =
     bits = max(13, n_slots(total, block).bit_length())
     known = sized.join(F.broadcast(table) if len(rows) <= 100_000 else table, sized[source].eqNullSafe(table["_source"])).drop("_source")
     # Repeated rows are placed once and the copies counted, so that their order never matters.
-    placed = blocks(known.groupBy(key, source, "_row", "_s", "source_size", "target", F.col("size").alias("_one")).agg(F.count(F.lit(1)).alias("_copies")).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).withColumn("_row", F.xxhash64("_row", "_copy")).withColumnRenamed("_one", "size"), key, block, seed, 256)
+    placed = blocks(known.groupBy(key, source, "_row", "_s", "source_size", "target", F.col("size").alias("_one")).agg(F.count(F.lit(1)).alias("_copies")).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).withColumn("_text", F.col("_row")).withColumn("_row", F.xxhash64("_row", "_copy")).withColumnRenamed("_one", "size"), key, block, seed, 256)
     placed = scratch.save(placed.drop("_copies"), "placed")
     last = F.floor((F.col("_at") + F.col("size") - 1) / block)
     cut = placed.where("size > 0").withColumn("_block", F.explode(F.sequence(F.floor(F.col("_at") / block), last)))
@@ -149,4 +149,25 @@ def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str =
     mine = taken.groupBy(key, source, "_row", "_copy").agg(F.sum(F.col("_end") - F.col("_from")).alias("taken"), F.sort_array(F.collect_list(piece)).alias("pieces"))
     mine = mine.select(F.struct(key, source, "_row", "_copy").alias("_id"), "taken", "pieces")
     out = placed.withColumn("_id", F.struct(key, source, "_row", "_copy")).join(mine, "_id", "left")
-    return out.select(key, source, "size", "source_size", "target", F.coalesce("taken", F.lit(0).cast("long")).alias("taken"), F.coalesce("pieces", F.array().cast("array<struct<slot:bigint,start:bigint,n:bigint>>")).alias("pieces"), F.col("_row").alias("row_hash"), F.col("_copy").alias("copy"))
+    return out.select(key, source, "size", "source_size", "target", F.coalesce("taken", F.lit(0).cast("long")).alias("taken"), F.coalesce("pieces", F.array().cast("array<struct<slot:bigint,start:bigint,n:bigint>>")).alias("pieces"), F.col("_text").alias("text_hash"), F.col("_copy").alias("copy"))
+
+
+def apply(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", chars: str | None = "n_chars", **how) -> DataFrame:
+    """The mixed documents, with the columns of ``docs``: each as often as it is taken whole, then what is taken of its start.
+
+    Blocks follow a source's shuffled documents in order, so of every pass over a
+    document its first words are taken. Equal rows share what they take.
+    """
+    mixed = mix(docs, key, text, source, **how).groupBy(key, source, "text_hash", "size").agg(F.floor(F.sum("taken") / F.count(F.lit(1))).alias("_taken"))
+    mixed = mixed.where("_taken > 0").select(F.struct(key, source, "text_hash").alias("_id"), F.col("size").alias("_size"), "_taken")
+    named = docs.withColumn("_id", F.struct(F.col(key), F.col(source), F.xxhash64(text).alias("text_hash")))
+    joined = named.join(mixed, "_id")
+    whole = F.floor(F.col("_taken") / F.col("_size")).cast("int")
+    takes = F.concat(F.array_repeat(F.col("_size"), whole), F.filter(F.array(F.col("_taken") % F.col("_size")), lambda n: n > 0))
+    rows = joined.withColumn("_n", F.explode(takes))
+    words = F.array_remove(F.split(F.col(text), r"[\x20\x09-\x0D]+"), "")
+    cut = F.when(F.col("_n") < F.col("_size"), F.array_join(F.slice(words, 1, F.col("_n").cast("int")), " ")).otherwise(F.col(text))
+    rows = rows.withColumn(text, cut)
+    if chars:
+        rows = rows.withColumn(chars, F.length(text).cast(docs.schema[chars].dataType))
+    return rows.select(*docs.columns)

@@ -7,12 +7,26 @@ table written to ``spark.checkpoint.dir`` survives the loss of any executor.
 from __future__ import annotations
 
 import atexit
+import contextlib
 import tempfile
 import uuid
+from collections.abc import Iterator, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 
-_made: list[str] = []
+_made: dict[str, list[str]] = {}
+_scope = "session"
+
+
+@contextlib.contextmanager
+def scope(name: str) -> Iterator[None]:
+    """Tables saved within belong to ``name`` and can be released apart from others."""
+    global _scope
+    before, _scope = _scope, name
+    try:
+        yield
+    finally:
+        _scope = before
 
 
 def root(spark: SparkSession) -> str:
@@ -29,28 +43,32 @@ def save(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{root(spark)}/corpuscle-{name}-{uuid.uuid4().hex[:12]}"
     df.write.parquet(path)
-    _made.append(path)
+    _made.setdefault(_scope, []).append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def release(spark: SparkSession) -> None:
-    """Delete every table that ``save`` has made so far in this process.
+def release(spark: SparkSession, name: str, keep: Sequence[str] = ()) -> None:
+    """Delete the tables saved in scope ``name``, but for those that hold one of the files ``keep``.
 
-    For callers that have already written whatever they derived from them, such
-    as a pipeline between two stages.
+    For callers that have written whatever they derived from them, such as a
+    pipeline between two stages.
     """
-    while _made:
-        path = _made.pop()
-        try:
-            jvm = spark._jvm
-            target = jvm.org.apache.hadoop.fs.Path(path)
-            target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
-        except Exception:  # the session may already be gone at exit
-            break
+    left = []
+    for path in _made.pop(name, []):
+        folder = path.rsplit("/", 1)[-1]
+        if any(f"/{folder}/" in f for f in keep):
+            left.append(path)
+            continue
+        target = spark._jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+    if left:
+        _made[name] = left
 
 
 @atexit.register
 def _release_at_exit() -> None:
     spark = SparkSession.getActiveSession() if _made else None
     if spark is not None:
-        release(spark)
+        with contextlib.suppress(Exception):  # the JVM may already be gone
+            for name in list(_made):
+                release(spark, name)
