@@ -14,8 +14,7 @@ no key can fill one: equal keys are ordered by document and row.
 
 A worker remembers the ids of words it has met, up to a bound, because token ids depend
 on nothing outside a word: the vocabulary's pattern never crosses white space, which is
-dropped. The memory has two generations; words of the older one that are met again move
-to the newer, and the older one is dropped whenever the newer is full.
+dropped.
 
 Defined cases: a null text is empty; an empty one has only the end token; equal rows and
 rows of one key are documents of their own, told apart by ``row``; an empty table gives
@@ -25,7 +24,6 @@ an empty result. A null key is kept and sorts first.
 from __future__ import annotations
 
 import os
-import re
 import zlib
 from collections.abc import Iterator, Sequence
 
@@ -36,17 +34,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import scratch
-from .shingles import U, mix, portions
+from .shingles import U, Words, mix, portions
 
 DIMS, BITS, BUCKETS = 3, 10, 4096
-#: Words in either generation of a worker's memory.
-REMEMBERED = 400_000
-_STOP = re.compile(rb"(?<=[a-z])[.,](?=\s)")
+#: Words that a worker remembers before it starts anew, at about 30 bytes each.
+REMEMBERED = 2_000_000
 _held: dict[str, Ids] = {}
 
 
 class Ids:
-    """Token ids of texts, as little-endian bytes of two (or four) each."""
+    """Token ids of texts: each text's as one array, from words met before where that can be."""
 
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -57,8 +54,12 @@ class Ids:
         names = self.tokenizer.get_vocab()
         self.closes = np.zeros(max(names.values(), default=0) + 1, bool)
         self.closes[[i for name, i in names.items() if name.endswith("</w>")]] = True
-        self.new: dict[bytes, bytes] = {}
-        self.old: dict[bytes, bytes] = {}
+        self._forget()
+
+    def _forget(self) -> None:
+        """Remembered words: their hashes in order, and where each one's ids lie in ``ids``."""
+        self.known, self.low, self.count = np.zeros(0, U), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.ids = np.zeros(0, self.type)
 
     @classmethod
     def of(cls, path: str) -> Ids:
@@ -66,44 +67,91 @@ class Ids:
             _held[path] = cls(path)
         return _held[path]
 
-    def _learn(self, words: set[bytes]) -> None:
-        """Put all the words into the newer generation."""
-        for w in words & self.old.keys():
-            self.new[w] = self.old[w]
-        fresh = list(words - self.new.keys())
+    def _encode(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all words, end to end, and each one's number of ids."""
+        texts = [w.decode("utf-8", "replace") for w in words]
         # A word of letters alone is one piece, which ends in the one token that closes a piece; such words are
         # encoded many at a time, and cut apart there. The others are encoded one by one.
-        plain, other = [], []
-        for w in fresh:
-            x = w.decode("utf-8", "replace")
-            (plain if x.isalpha() and "\u0130" not in x else other).append((w, x))
-        for at in range(0, len(plain), 200):
-            part = plain[at : at + 200]
-            got = np.array(self.tokenizer.encode_batch_fast([" ".join([x for _, x in part])], add_special_tokens=False)[0].ids, self.type)
-            ends = ((np.flatnonzero(self.closes[got]) + 1) * self.type.itemsize).tolist()
-            if len(ends) != len(part):
+        # The same holds for letters with one full stop or comma behind them, which is a piece of its own.
+        stem = [x[:-1] if x[-1:] in (".", ",") else x for x in texts]
+        plain = [i for i, x in enumerate(stem) if x.isalpha() and "\u0130" not in x]
+        count = np.zeros(len(words), np.int64)
+        other = sorted(set(range(len(words))) - set(plain))
+        firsts, parts = [], []
+        for at in range(0, len(plain), 500):
+            part = plain[at : at + 500]
+            got = np.array(self.tokenizer.encode_batch_fast([" ".join([texts[i] if texts[i] is stem[i] else f"{stem[i]} {texts[i][-1]}" for i in part])], add_special_tokens=False)[0].ids, self.type)
+            ends = np.flatnonzero(self.closes[got]) + 1
+            pieces = np.cumsum([1 + (texts[i] is not stem[i]) for i in part])
+            if len(ends) == pieces[-1]:
+                ends = ends[pieces - 1]
+                count[part] = np.diff(ends, prepend=0)
+                firsts += part
+                parts.append(got)
+            else:
                 other += part
-                continue
-            raw, low = got.tobytes(), 0
-            for (w, _), high in zip(part, ends, strict=True):
-                self.new[w] = raw[low:high]
-                low = high
         for at in range(0, len(other), 20_000):
             part = other[at : at + 20_000]
-            for (w, _), e in zip(part, self.tokenizer.encode_batch_fast([x for _, x in part], add_special_tokens=False), strict=True):
-                self.new[w] = np.array(e.ids, self.type).tobytes()
-
-    def __call__(self, texts: Sequence[bytes]) -> list[bytes]:
-        """The ids of each text; together the texts should have some hundred thousand words at most."""
-        if len(self.new) > REMEMBERED:
-            self.old, self.new = self.new, {}
-        # Lower case is a step of the vocabulary itself; names of special tokens must keep theirs, and so must
-        # I before a dot above, which it composes first. A full stop or comma behind a letter and before white
-        # space is a piece of its own; cut off, the word before it is remembered once.
-        lists = [_STOP.sub(rb" \g<0>", t if b"<|" in t or b"\xcc\x87" in t else t.lower()).split() for t in texts]
-        self._learn(set().union(*lists) - self.new.keys())
-        get = self.new.__getitem__
-        return [b"".join(map(get, words)) for words in lists]
+            for i, e in zip(part, self.tokenizer.encode_batch_fast([texts[i] for i in part], add_special_tokens=False), strict=True):
+                count[i] = len(e.ids)
+                firsts.append(i)
+                parts.append(np.array(e.ids, self.type))
+        order = np.array(firsts, np.int64)
+        ids = np.concatenate(parts) if parts else np.zeros(0, self.type)
+        low = np.zeros(len(words), np.int64)
+        low[order] = np.concatenate([[0], np.cumsum(count[order])])[:-1]
+        return ragged(ids, low, count), count
+
+    def _remember(self, hashes: np.ndarray, words: list[bytes]) -> None:
+        """Add words of hashes that are in order and not known."""
+        ids, count = self._encode(words)
+        low = len(self.ids) + np.cumsum(count) - count
+        at = np.searchsorted(self.known, hashes)
+        self.known, self.low, self.count = np.insert(self.known, at, hashes), np.insert(self.low, at, low), np.insert(self.count, at, count)
+        self.ids = np.concatenate([self.ids, ids])
+
+    def __call__(self, texts: Sequence[bytes]) -> list[np.ndarray]:
+        """The ids of each text; together the texts should have some megabytes at most."""
+        if len(self.known) > REMEMBERED:
+            self._forget()
+        # Lower case is a step of the vocabulary itself; texts that hold names of special tokens, or I before a dot
+        # above, which is composed first, are encoded as they are.
+        odd = [i for i, t in enumerate(texts) if b"<|" in t or b"\xcc\x87" in t]
+        words = Words([b"" if i in set(odd) else t for i, t in enumerate(texts)] if odd else texts, lower=True)
+        raw = np.frombuffer(words.data, np.uint8)
+        # A single full stop or comma behind a letter is a piece of its own; cut off, the word is remembered once.
+        last = raw[words.end - 1]
+        before = raw[np.maximum(words.end - 2, 0)] | 32
+        stop = ((last == 46) | (last == 44)) & (words.end - words.start > 1) & (before >= 97) & (before <= 122)
+        each = 1 + stop.astype(np.int64)
+        own = np.repeat(np.arange(len(each)), each)
+        tail = np.diff(own, prepend=-1) == 0
+        start = np.where(tail, words.end[own] - 1, words.start[own])
+        end = np.where(stop[own] & ~tail, words.end[own] - 1, words.end[own])
+        hashes, index, inverse = np.unique(words.spans(start, end), return_index=True, return_inverse=True)
+        at = np.minimum(np.searchsorted(self.known, hashes), max(len(self.known) - 1, 0))
+        new = np.flatnonzero(self.known[at] != hashes) if len(self.known) else np.arange(len(hashes))
+        if len(new):
+            data, lo, hi = words.data.lower(), start[index[new]].tolist(), end[index[new]].tolist()
+            self._remember(hashes[new], [data[x:y] for x, y in zip(lo, hi, strict=True)])
+            at = np.searchsorted(self.known, hashes)
+        low, count = self.low[at][inverse], self.count[at][inverse]
+        ids = ragged(self.ids, low, count)
+        sums = np.concatenate([[0], np.cumsum(count)])
+        first = sums[np.concatenate([[0], np.cumsum(each)])[words.first]]
+        out = np.split(ids, first[1:-1])
+        for i in odd:
+            out[i] = np.array(self.tokenizer.encode(texts[i].decode("utf-8", "replace"), add_special_tokens=False).ids, self.type)
+        return out
+
+
+def ragged(values: np.ndarray, low: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """values[low : low + count] of each, end to end."""
+    ends = np.cumsum(count)
+    if not len(ends):
+        return values[:0]
+    at = np.arange(ends[-1]) + np.repeat(low - ends + count, count)
+    return values[at]
 
 
 def projection(n: int) -> np.ndarray:
@@ -150,7 +198,7 @@ def _tokenise(path: str, end: int):
         for whole in batches:
             texts = [t or b"" for t in whole.column(1).cast(pa.binary()).to_pylist()]
             for low, high in portions(texts):
-                tokens = [t + last for t in ids(texts[low:high])]
+                tokens = [t.tobytes() + last for t in ids(texts[low:high])]
                 keys = []
                 for t in tokens:
                     mean = np.zeros(DIMS, np.float64)

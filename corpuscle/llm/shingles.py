@@ -80,8 +80,12 @@ class Words:
         up, down = powers(_BASE, len(raw))
         sums = np.zeros(len(raw) + 1, U)
         np.cumsum((_LOWER if lower else _SAME)[raw] * up[: len(raw)], out=sums[1:])
-        spans = (sums[self.end] - sums[self.start]) * down[self.start]
-        self.hash = mix(spans + (self.end - self.start).astype(U) * U(0xA24BAED4963EE407))
+        self._sums, self._down = sums, down
+        self.hash = self.spans(self.start, self.end)
+
+    def spans(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """The hash of each span of bytes."""
+        return mix((self._sums[end] - self._sums[start]) * self._down[start] + (end - start).astype(U) * U(0xA24BAED4963EE407))
 
     def windows(self, length: int, seed: int = 0) -> np.ndarray:
         """The hash of the window that starts at each word; meaningless where it leaves its text."""
