@@ -34,8 +34,8 @@ from .shingles import U, portions
 LOG = 20
 FEATURES = 1 << LOG
 SIZES = (3, 4, 5)
-MOST_TOXIC, MOST_CLEAN, MOST_CHARS = 4096, 8192, 48_000_000
-LEAST_RATIO = 0.1
+MOST_TOXIC, MOST_CLEAN, MOST_CHARS = 4096, 6144, 32_000_000
+LEAST_RATIO = 0.2
 _FOLD = np.arange(256, dtype=np.uint64)
 _FOLD[65:91] += 32
 _FOLD[[9, 10, 11, 12, 13]] = 32
@@ -85,12 +85,13 @@ def _chosen(ratio):
         r = ratio.value
         for batch in batches:
             f, v = [], []
+            names = ["toxic", "h", "f", "v"]
             for buckets, counts in counted(batch.column("text").cast(pa.binary()).to_pylist()):
                 x = values(counts)
                 keep = r[buckets] != 0
                 f.append(buckets[keep])
                 v.append((x[keep] * r[buckets[keep]]).astype(np.float32))
-            yield pa.RecordBatch.from_arrays([batch.column("toxic"), pa.array(f, pa.list_(pa.int32())), pa.array(v, pa.list_(pa.float32()))], names=["toxic", "f", "v"])
+            yield pa.RecordBatch.from_arrays([batch.column("toxic"), batch.column("h"), pa.array(f, pa.list_(pa.int32())), pa.array(v, pa.list_(pa.float32()))], names=names)
 
     return run
 
@@ -107,25 +108,26 @@ def sample(docs: DataFrame, labels: DataFrame, key: str, text: str, label: str)
         chars += r["n"]
         if chars > MOST_CHARS:
             break
-        taken.append((r[key], r["toxic"]))
+        taken.append((r[key], r["toxic"], r["h"]))
     # MOST_TOXIC + MOST_CLEAN keys at most.
-    chosen = docs.sparkSession.createDataFrame(taken, f"{key} {docs.schema[key].dataType.simpleString()}, toxic int")
-    return scratch.save(docs.select(key, text).join(F.broadcast(chosen), key).select("toxic", F.col(text).alias("text")), "labelled")
-
-
-def fit(rows: list[tuple[int, list[int], list[float]]], epochs: int = 80, rate: float = 0.1, ridge: float = 1e-4) -> tuple[np.ndarray, float]:
-    """Weights by bucket and the bias: logistic regression by Adam over all rows at once."""
-    y = np.array([r[0] for r in rows], np.float64)
-    sizes = [len(r[1]) for r in rows]
-    own = np.repeat(np.arange(len(rows)), sizes)
-    used, f = np.unique(np.concatenate([np.asarray(r[1], np.int64) for r in rows]), return_inverse=True)
-    v = np.concatenate([np.asarray(r[2], np.float64) for r in rows])
-    scale = np.sqrt((v * v).sum() / len(rows)) or 1.0
-    v = v / scale
+    chosen = docs.sparkSession.createDataFrame(taken, f"{key} {docs.schema[key].dataType.simpleString()}, toxic int, h long")
+    return scratch.save(docs.select(key, text).join(F.broadcast(chosen), key).select("toxic", "h", F.col(text).alias("text")), "labelled")
+
+
+def fit(y: np.ndarray, sizes: np.ndarray, f: np.ndarray, v: np.ndarray, epochs: int = 80, rate: float = 0.1, ridge: float = 1e-4) -> tuple[np.ndarray, float]:
+    """Weights by bucket and the bias: logistic regression by Adam over all texts at once.
+
+    Text i has label y[i] and sizes[i] of the features (f, v).
+    """
+    own = np.repeat(np.arange(len(y), dtype=np.int32), sizes)
+    used, f = np.unique(f, return_inverse=True)
+    f = f.astype(np.int32)
+    scale = np.sqrt(np.square(v, dtype=np.float64).sum() / len(y)) or 1.0
+    v = (v / scale).astype(np.float32)
     w, m, s = (np.zeros(len(used) + 1) for _ in range(3))
     each = np.where(y == 1, 0.5 / max(y.mean(), 1e-9), 0.5 / max(1 - y.mean(), 1e-9)) / len(y)
     for e in range(1, epochs + 1):
-        z = np.bincount(own, weights=v * w[f], minlength=len(rows)) + w[-1]
+        z = np.bincount(own, weights=v * w[f], minlength=len(y)) + w[-1]
         g = each * (1 / (1 + np.exp(-np.clip(z, -50, 50))) - y)
         grad = np.append(np.bincount(f, weights=v * g[own], minlength=len(used)) + ridge * w[:-1], g.sum())
         m, s = 0.9 * m + 0.1 * grad, 0.99 * s + 0.01 * grad * grad
@@ -142,18 +144,20 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     if not size.get(0) or not size.get(1):
         return None
     # FEATURES rows at most.
-    seen = labelled.mapInArrow(_presence, "f int, p long, q long").groupBy("f").agg(F.sum("p").alias("p"), F.sum("q").alias("q")).toPandas()
+    seen = labelled.mapInArrow(_presence, "f int, p long, q long").groupBy("f").agg(F.sum("p").alias("p"), F.sum("q").alias("q")).toArrow()
     p, q = np.zeros(FEATURES), np.zeros(FEATURES)
-    p[seen["f"]], q[seen["f"]] = seen["p"], seen["q"]
+    at = seen.column("f").to_numpy()
+    p[at], q[at] = seen.column("p").to_numpy(), seen.column("q").to_numpy()
     toxic, clean = size[1], size[0]
     smooth = min(100.0, max(2.0, (toxic + clean) / 25))
     a, b = smooth * toxic / (toxic + clean), smooth * clean / (toxic + clean)
     ratio = np.log((p + a) / (toxic + a)) - np.log((q + b) / (clean + b))
     ratio[np.abs(ratio) < LEAST_RATIO] = 0
     shared = docs.sparkSession.sparkContext.broadcast(ratio.astype(np.float32))
-    chosen = labelled.mapInArrow(_chosen(shared), "toxic int, f array<int>, v array<float>").toArrow()
-    rows = sorted(zip(*(chosen.column(c).to_pylist() for c in ("toxic", "f", "v")), strict=True))
-    weights, bias = fit(rows)
+    chosen = labelled.mapInArrow(_chosen(shared), "toxic int, h long, f array<int>, v array<float>").orderBy("h", "toxic").toArrow().combine_chunks()
+    f, v = (chosen.column(c).combine_chunks() for c in ("f", "v"))
+    sizes = np.diff(f.offsets.to_numpy())
+    weights, bias = fit(chosen.column("toxic").to_numpy().astype(np.float64), sizes, f.flatten().to_numpy(), v.flatten().to_numpy())
     return weights * ratio.astype(np.float32), bias
 
 
