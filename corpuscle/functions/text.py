@@ -195,10 +195,20 @@ def has_formula(text: Column) -> Column:
 
 
 def note_date(filename: Column) -> Column:
-    """An ISO date from DD.MM.YYYY, else from YYYY-MM-DD, else null."""
-    dmy, ymd = r"(\d{2})\.(\d{2})\.(\d{4})", r"(\d{4}-\d{2}-\d{2})"
-    turned = F.concat_ws("-", F.regexp_extract(filename, dmy, 3), F.regexp_extract(filename, dmy, 2), F.regexp_extract(filename, dmy, 1))
-    return F.when(F.rlike(filename, F.lit(dmy)), turned).when(F.rlike(filename, F.lit(ymd)), F.regexp_extract(filename, ymd, 1))
+    """An ISO date from day, month, year in a name, else from year, month, day, else null."""
+    dmy, ymd = r"(\d{2})[-_.](\d{2})[-_.](\d{4})", r"(\d{4})[-_.](\d{2})[-_.](\d{2})"
+    joined = lambda pattern, order: F.concat_ws("-", *[F.regexp_extract(filename, pattern, i) for i in order])
+    return F.when(F.rlike(filename, F.lit(dmy)), joined(dmy, (3, 2, 1))).when(F.rlike(filename, F.lit(ymd)), joined(ymd, (1, 2, 3)))
+
+
+#: Names of daily notes, and of folders that hold them.
+DAILY_NAMES = (r"^\d{2}[-_.]\d{2}[-_.]\d{4}$", r"^\d{4}[-_.]\d{2}[-_.]\d{2}$", r"^\w+\s+\d{1,2},?\s+\d{4}$", r"^\d{1,2}\s+\w+\s+\d{4}$")
+DAILY_FOLDERS = ("daily notes", "daily", "dailies", "journal", "daily_study_notes", "09 - daily_study_notes")
+
+
+def is_daily_note(path: Column) -> Column:
+    parts = F.split(F.lower(path), r"[/\\]")
+    return F.rlike(stem(path), F.lit("|".join(DAILY_NAMES))) | F.arrays_overlap(parts, F.array(*map(F.lit, DAILY_FOLDERS)))
 
 
 def url_slug(url: Column) -> Column:

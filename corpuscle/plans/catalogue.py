@@ -441,3 +441,141 @@ def judge_merge(spark, sf_dir):
     rows = spark.createDataFrame([(1, True), (2, True), (3, True), (4, False)], "i int, gradable boolean")
     scores = spark.createDataFrame([(1, 0, "0.2", "0"), (1, 1, "7", "1"), (2, 0, "0.5", "x"), (3, 0, "-3", "0")], "i int, ord int, correct string, grounded string")
     return evaluation.judge_merge(rows, scores)
+
+
+FIXED_SQL = """WITH RECURSIVE t AS (SELECT doc_id, trim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS text FROM documents),
+w AS (SELECT doc_id, text, length(text)::BIGINT AS n, 0::BIGINT AS i, 0 AS part FROM t WHERE length(text) > 0
+  UNION ALL SELECT doc_id, text, n, greatest(stop - 150, i + 1), part + 1 FROM (SELECT *, {stop} AS stop FROM w) WHERE stop < n),
+c AS (SELECT doc_id, part, trim(substring(text, (i + 1)::INT, ({stop} - i)::INT), ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS piece FROM w)
+SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY part) AS part, length(piece) AS n, sha256(piece) AS digest FROM c WHERE piece <> ''""".replace(
+    "{stop}", "(CASE WHEN i + 3000 >= n THEN n ELSE i + coalesce(nullif(1800 + length(regexp_replace(substring(text, (i + 1801)::INT, 1200), '[^ ' || chr(10) || ']*$', '')) - 1, 1799), 3000) END)"
+)
+
+
+def _chunked(spark: SparkSession, sf_dir: str, strategy: str) -> DataFrame:
+    from ..sources import chunking
+
+    cut = read(spark, sf_dir, "documents").select("doc_id", chunking.split_column(F.col("text"), strategy=strategy).alias("p"))
+    each = cut.select("doc_id", F.posexplode("p").alias("at", "piece"))
+    return each.select("doc_id", (F.col("at") + 1).cast("long").alias("part"), F.length("piece").cast("long").alias("n"), F.sha2("piece", 256).alias("digest"))
+
+
+@register(FIXED_SQL)
+def fixed_chunks(spark, sf_dir):
+    return _chunked(spark, sf_dir, "fixed")
+
+
+@register()
+def heading_chunks(spark, sf_dir):
+    return _chunked(spark, sf_dir, "heading")
+
+
+@register()
+def document_chunks(spark, sf_dir):
+    return _chunked(spark, sf_dir, "document")
+
+
+NOTES = (
+    ("Course A/intro.md", "---\ntags: [alpha]\ncourse: Statistics\n---\nBefore any heading, see [[Other note|that one]].\n\n# Means\nThe mean is a sum over a count. #mean\n\n## Median\nHalf lie below it.\n```\n#no tag\n```\n"),
+    ("daily/2024-03-04.md", "# RL L1\nA policy maps states to actions.\n# Todo\nnothing of note here\n# NLP L2\n## Attention\nQueries, keys and values.\n"),
+    ("code/tool.py", "import os\n\n\ndef one():\n    return 1\n\n\nclass Two:\n    pass\n"),
+)
+
+
+@register()
+def markdown_sections(spark, sf_dir):
+    from ..sources import notes
+
+    options = notes.Options(least=10, course_rules=(("^RL\\b", "RL"), ("^NLP\\b", "NLP"), ("^Todo", notes.SKIP)))
+    return notes.parse_files(spark.createDataFrame(NOTES, "path string, content string"), options)
+
+
+@register("SELECT * FROM (VALUES (1, 'a,b/c', 'Note,Other'), (2, '', ''), (3, 'x', 'L')) t(i, tags, links)")
+def tags_wikilinks(spark, sf_dir):
+    rows = [(1, "#b/c and #a\n```\n#no\n```\n[[Note|shown]] [[Other]] a#no #1no"), (2, "plain"), (3, "#x #x\n![[L]]")]
+    return spark.createDataFrame(rows, "i int, text string").select("i", F.array_join(T.hashtags(F.col("text")), ",").alias("tags"), F.array_join(T.wikilinks(F.col("text")), ",").alias("links"))
+
+
+@register("""SELECT page_id, regexp_replace(substring(regexp_extract(regexp_replace(url, '^https?://(www\\.)?', ''), '^([^/]*)', 1) || '__' || coalesce(nullif(regexp_extract(regexp_replace(regexp_replace(url, '[?#].*$', ''), '/+$', ''), '([^/]*)$', 1), ''), 'page'), 1, 120), '[^A-Za-z0-9_.\\- ()\\[\\]]', '_', 'g') AS slug FROM pages""")
+def url_slug(spark, sf_dir):
+    return read(spark, sf_dir, "pages").select("page_id", T.url_slug(F.col("url")).alias("slug"))
+
+
+@register("""WITH t AS (SELECT page_id, regexp_replace(regexp_replace(html, '(?is)<(script|style|noscript)\\b[^>]*>.*?</(script|style|noscript)>', ' ', 'g'), '(?s)<!--.*?-->', ' ', 'g') AS h FROM pages),
+u AS (SELECT page_id, replace(replace(replace(replace(replace(replace(regexp_replace(h, '(?s)<[^>]*>', ' ', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&nbsp;', ' '), '&amp;', '&') AS x FROM t)
+SELECT page_id, length(y) AS n, sha256(y) AS digest FROM (SELECT page_id, trim(regexp_replace(x, '[ \\t\\r\\n\\f\\v]+', ' ', 'g')) AS y FROM u)""")
+def web_pages_text(spark, sf_dir):
+    text = T.html_text(F.col("html"))
+    return read(spark, sf_dir, "pages").select("page_id", text.alias("x")).select("page_id", F.length("x").cast("long").alias("n"), F.sha2("x", 256).alias("digest"))
+
+
+@register("SELECT user_id, event_id, event_type, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS n FROM events) WHERE n = 1")
+def job_state_latest(spark, sf_dir):
+    from ..streaming import ingest
+
+    return ingest.latest_states(read(spark, sf_dir, "events"), "user_id", "ts", "event_id").select("user_id", "event_id", "event_type", "value")
+
+
+@register("SELECT event_id, user_id FROM events ORDER BY ts DESC, event_id DESC LIMIT 50")
+def history_ring(spark, sf_dir):
+    from ..streaming import ingest
+
+    return ingest.recent(read(spark, sf_dir, "events"), "ts", 500, "event_id").select("event_id", "user_id")
+
+
+@register("""SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN 'parent:p' || (doc_id % 10) WHEN doc_id % 4 = 1 THEN 'live:' || substring(sha256(source || chr(0) || text), 1, 20) ELSE doc_id::VARCHAR END AS evidence_id,
+CASE WHEN length(trim(text)) <= 80 THEN trim(text) ELSE rtrim(substring(trim(text), 1, 79)) || '…' END AS preview FROM documents""")
+def evidence(spark, sf_dir):
+    d = F.col("doc_id")
+    parent = F.when(d % 4 == 0, F.concat(F.lit("p"), (d % 10).cast("string")))
+    return read(spark, sf_dir, "documents").select("doc_id", T.evidence_id(d.cast("string"), parent, d % 4 == 1, F.col("source"), F.col("text")).alias("evidence_id"), T.preview(F.col("text"), 80).alias("preview"))
+
+
+@register("""SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN source || '.pdf › Chapter ' || (doc_id % 9) || CASE WHEN doc_id % 3 > 0 THEN ', p.' || (doc_id % 3) ELSE '' END WHEN 1 THEN source || ' (live vault)' WHEN 2 THEN 'Course › ' || lang ELSE source || '.pdf' END AS label FROM documents""")
+def citation_label(spark, sf_dir):
+    d = F.col("doc_id")
+    name = F.concat("source", F.lit(".pdf"))
+    label = T.citation_label(F.when(d % 4 == 0, "PDF").otherwise("note"), name, F.when(d % 4 == 0, F.concat(F.lit("Chapter "), (d % 9).cast("string"))), F.when(d % 4 == 0, d % 3), F.when(d % 4 == 2, "Course").otherwise("unknown"), F.when(d % 4 == 2, F.col("lang")), d % 4 == 1)
+    return read(spark, sf_dir, "documents").select("doc_id", label.alias("label"))
+
+
+@register("""SELECT * FROM (VALUES (1,'HIGH',false,'A fact [1].'),(2,'UNKNOWN',true,'The notes don''t cover it'),(3,'LOW',false,'done CONFIDENCE: low'),(4,'UNKNOWN',false,'cut off')) t(i, confidence, punted, answer)""")
+def answer_parsing(spark, sf_dir):
+    rows = [(1, "<think>x\ny</think> A fact [1].", "CONFIDENCE: HIGH"), (2, "The notes don't cover it", ""), (3, "done CONFIDENCE: low", "done CONFIDENCE: low"), (4, "a <think> cut off", "")]
+    df = spark.createDataFrame(rows, "i int, answer string, tail string")
+    return df.select("i", T.confidence(F.col("tail")).alias("confidence"), T.punted(F.col("answer")).alias("punted"), T.strip_reasoning(F.col("answer")).alias("answer"))
+
+
+@register("""WITH p AS (SELECT doc_id, text, list_filter(['the','licensed','la','zzz'], lambda k: contains(lower(text), k)) AS hit FROM documents)
+SELECT doc_id, round(len(hit) / 4, 6) AS keyword_recall, contains(text, '```') OR regexp_matches(text, '\\n {4,}\\S|\\bdef \\w+\\(|\\bclass \\w+') AS has_code FROM p""")
+def keyword_recall(spark, sf_dir):
+    words = F.array(*map(F.lit, ("the", "Licensed", "la", "zzz")))
+    return read(spark, sf_dir, "documents").select("doc_id", F.round(evaluation.keyword_recall(F.col("text"), words), 6).alias("keyword_recall"), T.has_code(F.col("text")).alias("has_code"))
+
+
+@register("""WITH h AS (SELECT item_id AS qid, text AS answer FROM benchmark) SELECT qid, 'Answer the question' || chr(10) || answer AS query, len(regexp_extract_all(lower(answer), '[a-z0-9]+')) AS terms FROM h""")
+def scoring_queries(spark, sf_dir):
+    q = questions(spark, sf_dir)
+    template = fusion.scoring_query("%s", "Answer the question", "http")
+    return q.select("qid", F.format_string(template, "question").alias("query"), F.size(T.tokens(F.col("question"))).alias("terms"))
+
+
+@register()
+def judge_bundle(spark, sf_dir):
+    top = lanes.top(lanes.bm25(chunks(spark, sf_dir), questions(spark, sf_dir)), 3, "s", 0).join(chunks(spark, sf_dir).select("chunk_id", "text"), "chunk_id").select("qid", (F.col("rank0") + 1).alias("rank"), "chunk_id", "text")
+    answers = questions(spark, sf_dir).select(F.col("qid").alias("i"), "qid", "question", F.lit("Yes [1], [3] and [9].").alias("answer"))
+    return evaluation.judge_bundle(answers, top).select("i", "qid", "question", "answer", F.to_json("cited_chunks").alias("cited_chunks"))
+
+
+@register("""WITH f AS (SELECT source AS path, CASE WHEN doc_id % 3 = 0 THEN 'report' ELSE 'book' END || doc_id || '.pdf' AS name, doc_id FROM documents),
+r AS (SELECT CASE WHEN NOT contains(path || '/' || name, 'src1') THEN 'not_included' WHEN contains(name, 'report') THEN 'excluded' WHEN doc_id % 10 = 1 THEN 'skip_list' WHEN NOT contains(name, '7') THEN 'no_book' ELSE 'kept' END AS drop_reason FROM f)
+SELECT drop_reason, count(*) AS n FROM r GROUP BY ALL""")
+def pdf_discovery(spark, sf_dir):
+    from ..sources import files
+
+    d = F.col("doc_id")
+    name = F.concat(F.when(d % 3 == 0, "report").otherwise("book"), d.cast("string"), F.lit(".pdf"))
+    listed = read(spark, sf_dir, "documents").select("doc_id", F.concat("source", F.lit("/"), name).alias("path"))
+    skip = listed.where("doc_id % 10 = 1").select(F.upper("path").alias("path"))
+    found = files.pdf_drops(listed, ["SRC1"], ["report"], skip, ["7"])
+    return files.drop_counts(found)
