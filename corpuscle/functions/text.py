@@ -286,7 +286,8 @@ def punted(answer: Column, markers: Sequence[str] = PUNTS) -> Column:
 
 def clamp_score(value: Column) -> Column:
     """A score within 0 and 1; what is no number is null."""
-    return F.least(F.greatest(value.try_cast("double"), F.lit(0.0)), F.lit(1.0))
+    number = value.try_cast("double")
+    return F.when(number.isNotNull(), F.least(F.greatest(number, F.lit(0.0)), F.lit(1.0)))
 
 
 def meta_string(items: Column) -> Column:

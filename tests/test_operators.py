@@ -45,6 +45,8 @@ def test_neighbors_are_taken_once(spark):
 
 def test_judge_merge(spark):
     rows = spark.createDataFrame([(1, True), (2, True)], "i int, gradable boolean")
+    scores = spark.createDataFrame([(1, 0, "0.2", "0"), (1, 1, "7", "1"), (2, 0, "-3", "x")], "i int, ord int, correct string, grounded string")
+    assert [(r["correct"], r["grounded"]) for r in evaluation.judge_merge(rows, scores).orderBy("i").collect()] == [(1.0, 1.0), (0.0, None)]
     with pytest.raises(Exception, match="no score"):
         evaluation.judge_merge(rows, spark.createDataFrame([(1, 0, "1", "1")], "i int, ord int, correct string, grounded string")).collect()
 
