@@ -124,3 +124,33 @@ def judge_bundle(answers: DataFrame, docs: DataFrame) -> DataFrame:
     cited = used.join(docs.select("qid", F.col("rank").alias("n"), "chunk_id", "text"), ["qid", "n"], "left")
     chunk = F.when(F.col("chunk_id").isNotNull(), F.struct("n", "chunk_id", "text"))
     return cited.groupBy("i", "qid", "question", "answer").agg(F.array_sort(F.collect_list(chunk)).alias("cited_chunks"))
+
+
+def read_scores(lines: DataFrame) -> DataFrame:
+    """Lines (n, value) of a judge's file as (i, ord, correct, grounded); a line that is no object with ``i`` fails and is named."""
+    value = F.regexp_replace("value", "^﻿", "")
+    read = F.from_json(value, "i int, correct string, grounded string")
+    wrong = F.raise_error(F.format_string("line %s of the scores is no score", F.col("n").cast("string")))
+    parsed = lines.where(F.length(F.btrim("value")) > 0).select("n", read.alias("s"))
+    return parsed.where(F.when(F.col("s.i").isNull(), wrong).otherwise(F.lit(True))).select("s.i", F.col("n").alias("ord"), "s.correct", "s.grounded")
+
+
+#: The metrics of a report by tier.
+TIERS = {"retrieval": ("hit", "reciprocal_rank", "recall"), "answer": ("keyword_recall", "citation_validity", "groundedness"), "judge": ("correct", "grounded")}
+
+
+def report(rows: DataFrame) -> DataFrame:
+    """One row: every metric that ``rows`` has, as its mean and how many rows are scored, and the number of questions and answers."""
+    metrics = [m for tier in TIERS.values() for m in tier if m in rows.columns]
+    answered = [F.count_if("answered").alias("n_answered")] if "answered" in rows.columns else []
+    means = [c for m in metrics for c in (F.round(F.avg(F.col(m).cast("double")), 6).alias(m), F.count(m).alias(f"{m}_n"))]
+    return rows.agg(F.count(F.lit(1)).alias("n"), *answered, *means)
+
+
+def scorecard(row: dict) -> str:
+    """A report as a markdown table; what is not scored says so."""
+    lines = ["| metric | mean | scored |", "|-|-|-|"]
+    for m in (m for tier in TIERS.values() for m in tier if m in row):
+        mean = "not scored" if row[m] is None else f"{row[m]:.3f}"
+        lines.append(f"| {m} | {mean} | {row[f'{m}_n']} of {row['n']} |")
+    return "\n".join(lines)

@@ -579,3 +579,33 @@ def pdf_discovery(spark, sf_dir):
     skip = listed.where("doc_id % 10 = 1").select(F.upper("path").alias("path"))
     found = files.pdf_drops(listed, ["SRC1"], ["report"], skip, ["7"])
     return files.drop_counts(found)
+
+
+@register("""WITH d AS (SELECT doc_id AS chunk_id, source, CASE WHEN doc_id % 2 = 0 THEN 0 ELSE 1 END AS f FROM documents WHERE doc_id % 3 < 2 UNION ALL SELECT doc_id, source, 2 FROM documents)
+SELECT chunk_id, source AS source_file, min(f) AS file FROM d GROUP BY ALL""")
+def union_scan(spark, sf_dir):
+    from ..operators import index
+
+    c = chunks(spark, sf_dir).select("chunk_id", "source_file", "ord")
+    part = lambda n, where: c.where(where).withColumn("file", F.lit(n))
+    first, second = part(0, "chunk_id % 3 < 2 AND chunk_id % 2 = 0"), part(1, "chunk_id % 3 < 2 AND chunk_id % 2 = 1")
+    return index.union_chunks(first, second, first, part(2, "true")).select("chunk_id", "source_file", "file")
+
+
+@register("SELECT doc_id AS chunk_id FROM documents WHERE contains(source, 'src1') AND doc_id % 4 IN (0, 1) AND doc_id % 5 <> 0")
+def hype_pending(spark, sf_dir):
+    from ..operators import index
+
+    c = chunks(spark, sf_dir)
+    done = c.where("chunk_id % 5 = 0").select(F.concat(F.col("chunk_id").cast("string"), F.lit("::q0")).alias("question_id"), F.col("chunk_id").alias("doc_id"))
+    return index.pending_questions(c, done, "SRC1", ("note", "pdf")).select("chunk_id")
+
+
+@register(f"""WITH {DENSE}, r AS (SELECT qid, min(rank0 + 1) FILTER (WHERE label = qid % 4) AS f FROM {top_sql('de', 20, 'd', 0)} JOIN vec USING (chunk_id) GROUP BY qid),
+e AS (SELECT item_id AS qid, r.f FROM benchmark LEFT JOIN r ON qid = item_id)
+SELECT count(*) AS n, round(avg((f IS NOT NULL)::INT), 6) AS hit, count(*) AS hit_n, round(avg(coalesce(1.0::DOUBLE / f, 0)), 6) AS reciprocal_rank, count(*) AS reciprocal_rank_n FROM e""")
+def eval_report(spark, sf_dir):
+    v = vectors(spark, sf_dir)
+    ranked = lanes.top(lanes.dense(v, query_vectors(spark, sf_dir)), 20, "d", 0).join(v.select("chunk_id", F.col("label").cast("string").alias("domain")), "chunk_id").select("qid", (F.col("rank0") + 1).alias("rank"), "domain")
+    wanted = questions(spark, sf_dir).select("qid", (F.col("qid") % 4).cast("string").alias("want"))
+    return evaluation.report(evaluation.first_hits(ranked, wanted))

@@ -1,5 +1,6 @@
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from corpuscle.operators import corpus, evaluation, expansion, fusion
 from corpuscle.plans import catalogue
@@ -102,3 +103,53 @@ def test_stream_is_idempotent(spark, tmp_path):
         parsed = lambda d: notes.parse_files(d).select("doc_id", "text", "source_file")
         ingest.ingest_available(ingest.watch(spark, str(tmp_path / "in")), parsed, table, str(tmp_path / checkpoint)).awaitTermination(120)
         assert spark.read.parquet(table).count() == 1, i
+
+
+def test_index_tables_answer_like_the_scan(spark, sf, tmp_path):
+    from corpuscle.operators import index, lanes
+
+    chunks, asked = catalogue.chunks(spark, sf), catalogue.questions(spark, sf).limit(5)
+    index.write(chunks, str(tmp_path))
+    key = lambda df: {(r["qid"], r["chunk_id"]): r["score"] for r in df.collect()}
+    assert key(index.search(spark, str(tmp_path), asked)) == pytest.approx(key(lanes.bm25(chunks, asked)), abs=2e-6)
+
+
+def test_plugins(spark):
+    from corpuscle.operators import index
+
+    pending = spark.createDataFrame([(1, "a", "text")], "chunk_id long, source_file string, text string")
+    got = index.generate_questions(pending, lambda t: "- What is the mean here?\nno\n• Why is that so often?\n", 1).collect()
+    assert [(r["question_id"], r["question"]) for r in got] == [("1::q0", "What is the mean here?")]
+    assert index.embed(pending, lambda texts: [[1.0, 2.0] for _ in texts]).first()["embedding"] == [1.0, 2.0]
+
+    def dead(image):
+        raise ConnectionError("no server")
+
+    pages = spark.createDataFrame([("b", 1, bytearray(b"x")), ("b", 2, bytearray(b"y"))], "book string, page int, image binary")
+    assert all(r["error"].startswith("ConnectionError") for r in index.read_pages(pages, dead).collect())
+    lane = index.live_lane(spark, lambda q: [{"path": "n.md", "excerpt": "e" * 50}, {"path": "n.png", "excerpt": "e" * 50}], [(1, "q")])
+    assert [r["chunk_id"] for r in lane.collect()] == ["omni::n.md"]
+
+
+def test_scores_file(spark):
+    lines = spark.createDataFrame([(1, '﻿{"i": 3, "correct": 1}'), (2, " "), (3, "{}")], "n int, value string")
+    assert evaluation.read_scores(lines.where("n < 3")).first()["i"] == 3
+    with pytest.raises(Exception, match="line 3"):
+        evaluation.read_scores(lines).collect()
+    row = evaluation.report(spark.createDataFrame([(True, None), (False, None)], "hit boolean, recall double")).first().asDict()
+    assert "| hit | 0.500 | 2 of 2 |" in evaluation.scorecard(row) and "not scored" in evaluation.scorecard(row)
+
+
+def test_engine(spark, sf):
+    from corpuscle.plans.engine import Engine
+
+    chunks = catalogue.chunks(spark, sf).withColumn("parent_id", F.when(F.col("chunk_id") % 2 == 0, F.col("source_file")))
+    parents = chunks.where("parent_id IS NOT NULL").select("parent_id").distinct().withColumn("text", F.concat(F.lit("parent "), "parent_id"))
+    engine = Engine(spark, chunks, catalogue.vectors(spark, sf).select("chunk_id", "embedding"), parents)
+    asked, vectors = catalogue.questions(spark, sf).limit(3), catalogue.query_vectors(spark, sf)
+    found = engine.search(asked, vectors, top_k=5)
+    assert found.groupBy("qid").count().agg(F.max("count")).first()[0] <= 5
+    answers = engine.answer(asked, found, lambda prompt: "<think>x</think>Yes [1] and [77]. CONFIDENCE: HIGH").collect()
+    assert {(r["confidence"], tuple(r["dangling"])) for r in answers} == {("HIGH", (77,))}
+    both = engine.compare(asked, {"a": {"rerank_mode": "none"}, "b": {"rerank_mode": "lexical"}}, vectors)
+    assert evaluation.pairwise(both).count() == 3
