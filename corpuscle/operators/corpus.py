@@ -18,10 +18,15 @@ def first_wins(rows: DataFrame, key: str, *order: str | Column) -> DataFrame:
     return rows.withColumn("_n", F.row_number().over(own)).where((F.col("_n") == 1) | F.col(key).isNull()).drop("_n")
 
 
-def ordered_distinct(pairs: Column, most: int | None = None) -> Column:
-    """Values of an array of (ord, value) in order of first appearance."""
-    out = F.array_distinct(F.transform(F.array_sort(pairs), lambda p: p["value"]))
-    return F.slice(out, 1, most) if most else out
+def in_order(values: DataFrame, keys: Sequence[str], most: int | None = None, out: str = "values") -> DataFrame:
+    """(keys, value, place) to the distinct values of each key in order of their first place.
+
+    Values are counted down to one row each before they are gathered, so an array is as
+    long as a key has values, however many rows it has.
+    """
+    first = values.where("value <> ''").groupBy(*keys, "value").agg(F.min("place").alias("place"))
+    listed = F.transform(F.array_sort(F.collect_list(F.struct("place", "value"))), lambda p: p["value"])
+    return first.groupBy(*keys).agg((F.slice(listed, 1, most) if most else listed).alias(out))
 
 
 def manifest(chunks: DataFrame) -> DataFrame:
@@ -30,19 +35,20 @@ def manifest(chunks: DataFrame) -> DataFrame:
     Within a file the last known course and the last domain but ``general`` hold, across
     files the first; types and tags are listed in order of appearance (15 tags a file).
     """
-    place = F.col("ord")
+    place, keys = F.col("ord"), ["source_file", "jsonl"]
     known = F.when((F.col("course") != "") & (F.lower("course") != "unknown"), F.col("course"))
     special = F.when((F.col("domain") != "") & (F.lower("domain") != "general"), F.col("domain"))
-    each = chunks.groupBy("source_file", "jsonl").agg(
+    each = chunks.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("chunks"), F.max_by(known, F.when(known.isNotNull(), place)).alias("course"),
         F.coalesce(F.max_by(special, F.when(special.isNotNull(), place)), F.min_by("domain", place)).alias("domain"),
-        # One entry per value and its first place: arrays are as long as a file has values, not chunks.
-        F.collect_set(F.struct(place.alias("ord"), F.col("file_type").alias("value"))).alias("_types"),
-        F.collect_set(F.struct(place.alias("ord"), F.col("tags").alias("value"))).alias("_tags"),
     )
-    each = each.withColumn("_types", ordered_distinct(F.col("_types"))).withColumn("_tags", F.slice(F.array_distinct(F.flatten(F.transform(F.array_sort("_tags"), lambda p: p["value"]))), 1, 15))
-    lists = lambda c: F.array_distinct(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("jsonl", c))), lambda p: p[c])))
-    return each.groupBy("source_file").agg(F.sum("chunks").alias("chunks"), F.min_by("course", F.when(F.col("course").isNotNull(), F.col("jsonl"))).alias("course"), F.min_by("domain", F.when(F.col("domain") != "", F.col("jsonl"))).alias("domain"), lists("_types").alias("file_types"), lists("_tags").alias("tags"), F.array_sort(F.collect_set("jsonl")).alias("jsonls"))
+    types = in_order(chunks.select(*keys, F.col("file_type").alias("value"), place.alias("place")), keys)
+    tags = in_order(chunks.select(*keys, "ord", F.posexplode("tags").alias("at", "value")).select(*keys, "value", F.struct("ord", "at").alias("place")), keys, 15)
+    across = lambda lists, out: in_order(lists.select("source_file", "jsonl", F.posexplode("values").alias("at", "value")).select("source_file", "value", F.struct("jsonl", "at").alias("place")), ["source_file"], out=out)
+    merged = each.groupBy("source_file").agg(F.sum("chunks").alias("chunks"), F.min_by("course", F.when(F.col("course").isNotNull(), F.col("jsonl"))).alias("course"), F.min_by("domain", F.when(F.col("domain") != "", F.col("jsonl"))).alias("domain"), F.array_sort(F.collect_set("jsonl")).alias("jsonls"))
+    none = F.array().cast("array<string>")
+    found = merged.join(across(types, "file_types"), "source_file", "left").join(across(tags, "tags"), "source_file", "left")
+    return found.select("source_file", "chunks", "course", "domain", F.coalesce("file_types", none).alias("file_types"), F.coalesce("tags", none).alias("tags"), "jsonls")
 
 
 def overview(found: DataFrame) -> DataFrame:
