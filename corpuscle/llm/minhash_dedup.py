@@ -7,11 +7,11 @@
    its places are filled, which for a long text is the first.
 2. Texts with equal sets are one class; its smallest doc_id stands for it from here.
 3. Signatures are cut into bands; classes that agree in a band share a bucket.
-4. Buckets never give all their pairs. In each round a bucket that still holds two
-   groups names a few pivots, which are compared with all its members of other groups
-   and then leave it. Once the groups of a bucket have become one, its remaining pairs
-   can't change the result and it is done. No bucket is capped: rounds go on until
-   all are done.
+4. Buckets never give all their pairs. Every member is compared with one pivot, and the
+   links make groups; buckets that are one group are done, as their other pairs can't
+   change the result. Of the others, those with ``pivots`` members or fewer compare what
+   is still apart; larger ones a few central members, and then, in blocks of bounded size,
+   all that is outside their largest group. No bucket is capped or sampled.
 5. Candidate pairs pass a test on signatures (six standard deviations below the
    threshold) and are then confirmed on the full sets.
 6. Links are joined by union-find: within each task first, which leaves a forest of at
@@ -32,7 +32,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import scratch
@@ -197,11 +197,12 @@ def components(links: DataFrame) -> DataFrame:
     return edges.select(F.col("u").alias("id"), F.col("v").alias("comp")).unionByName(roots)
 
 
-def group(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 2, percent: int = 80, pivots: int = 8) -> DataFrame:
+def group(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 2, percent: int = 80, pivots: int = 32) -> DataFrame:
     """One row per document: key, n_shingles, component_id, kept.
 
     Links texts whose shingle sets (``k`` words) have at least ``percent`` hundredths
-    of their union in common. ``pivots`` only sets how much a round compares.
+    of their union in common. ``pivots`` is the size up to which a bucket compares its
+    members by pairs, and beyond which in blocks; the result is the same.
     """
     body = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
     sketched = scratch.save(body.mapInArrow(_sketch(k, BANDS), "id long, n_shingles long, c1 long, c2 long, bands array<long>, sig binary"), "sketch")
@@ -219,42 +220,129 @@ def group(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 2,
     return out.select(F.col("id").alias(key), "n_shingles", "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
 
+def _each(k: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column(1).cast(pa.binary()).to_pylist()
+            for low, high in portions(texts):
+                hashes, bounds = Words(texts[low:high], lower=True).shingles(k)
+                sets = [np.unique(hashes[bounds[i] : bounds[i + 1]]) for i in range(high - low)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(low, high - low).take(pa.array(np.repeat(np.arange(high - low), [len(x) for x in sets]))), pa.array(signed(np.concatenate(sets)))], names=["id", "h"])
+
+    return run
+
+
+def _bounded(members: DataFrame, texts: DataFrame, k: int, percent: int, large: int) -> DataFrame:
+    """Members of buckets with more than ``large`` of them, with the number of shingles that none of these others has.
+
+    In a large group of loose copies most pairs fall short of the threshold, and most of
+    those have too many shingles of their own. A member that no other can reach leaves.
+    """
+    crowded = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("_c")).where(F.col("_c") > large).select("bucket", F.lit(True).alias("_big"))
+    flagged = scratch.save(members.drop("own").join(crowded, "bucket", "left"), "flagged")
+    ids = flagged.where("_big").select("id").distinct()
+    shingles = texts.join(ids, "id", "left_semi").mapInArrow(_each(k), "id long, h long")
+    lone = shingles.groupBy("h").agg(F.min("id").alias("id"), F.max("id").alias("_hi")).where("id = _hi")
+    # Rows of one doc_id with different texts are one node, for which no bound is known.
+    double = flagged.groupBy("id").agg(F.min("n").alias("_a"), F.max("n").alias("_b")).where("_a < _b").select("id")
+    own = lone.join(double, "id", "left_anti").groupBy("id").agg(F.count(F.lit(1)).alias("own")).withColumn("_big", F.lit(True))
+    known = flagged.join(own, ["id", "_big"], "left").withColumn("own", F.coalesce("own", F.lit(0).cast("long")))
+    return scratch.save(known.where(100 * (F.col("n") - F.col("own")) >= percent * F.col("n")).select("bucket", "id", "n", "comp", "own", F.coalesce("_big", F.lit(False)).alias("big")), "bounded")
+
+
+def _compare(s: dict, members: DataFrame, chosen: DataFrame) -> DataFrame:
+    """Links between the chosen (bucket, pivot) and their buckets' members of other groups, confirmed."""
+    named = members.select("bucket", F.col("id").alias("pivot"), F.col("comp").alias("_pc"), F.col("n").alias("_pn"), F.col("own").alias("_po")).join(chosen, ["bucket", "pivot"])
+    # What two sets can have in common at most: neither's shingles that no other of the bucket has.
+    most = F.least(F.col("n") - F.col("own"), F.col("_pn") - F.col("_po"))
+    near = (100 * most >= s["percent"] * (F.col("n") + F.col("_pn") - most)) & (F.col("comp") != F.col("_pc"))
+    pairs = members.join(named, "bucket").where(near).select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b")).distinct()
+    a, b = (s["sigs"].select(F.col("id").alias(x), F.col("sig").alias(f"sig_{x}")) for x in "ab")
+    likely = pairs.join(a, "a").join(b, "b").select("a", "b", "sig_a", "sig_b").mapInArrow(_likely(s["least"]), "a long, b long")
+    likely = scratch.save(likely, "likely")
+    a, b = (s["texts"].select(F.col("id").alias(x), F.col("text").alias(f"text_{x}")) for x in "ab")
+    fresh = likely.join(b, "b").join(a, "a").select("a", "b", "text_a", "text_b").mapInArrow(_confirm(s["k"], s["percent"]), "a long, b long")
+    return scratch.save(fresh.select(F.col("b").alias("u"), F.col("a").alias("v")), "links")
+
+
+def _still_open(members: DataFrame, links: DataFrame) -> DataFrame:
+    """Members with their groups as the links have them, of buckets that hold two groups or more."""
+    left = members.drop("comp").join(components(links), "id", "left").withColumn("comp", F.coalesce("comp", "id"))
+    left = scratch.save(left, "left")
+    several = left.groupBy("bucket").agg(F.min("comp").alias("_lo"), F.max("comp").alias("_hi")).where("_lo < _hi").select("bucket")
+    return scratch.save(left.join(several, "bucket"), "members")
+
+
+def _block(k: int, percent: int):
+    def run(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks()
+        texts = table.column("text").cast(pa.binary()).to_pylist()
+        outer, comp, ids = (table.column(c).to_numpy() for c in ("outer", "comp", "id"))
+        sets = []
+        for low, high in portions(texts):
+            hashes, bounds = Words(texts[low:high], lower=True).shingles(k)
+            sets += [np.unique(hashes[bounds[i] : bounds[i + 1]]) for i in range(high - low)]
+        size = np.array([len(x) for x in sets])
+        names, places = np.unique(np.concatenate(sets), return_inverse=True)
+        starts = np.cumsum(size) - size
+        inner = np.flatnonzero(~outer)
+        # The inner sets' elements end to end: an outer set counts those that it has, set by set.
+        elements = np.concatenate([places[starts[i] : starts[i] + size[i]] for i in inner])
+        edges = np.cumsum(size[inner]) - size[inner]
+        u, v = [], []
+        for i in np.flatnonzero(outer):
+            mark = np.zeros(len(names), np.int32)
+            mark[places[starts[i] : starts[i] + size[i]]] = 1
+            both = np.add.reduceat(mark[elements], edges)
+            hit = inner[(100 * both >= percent * (size[i] + size[inner] - both)) & (comp[inner] != comp[i])]
+            u += np.maximum(ids[hit], ids[i]).tolist()
+            v += np.minimum(ids[hit], ids[i]).tolist()
+        return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
+
+    return run
+
+
+def _in_blocks(s: dict, members: DataFrame, outer: int = 256, inner: int = 1024) -> DataFrame:
+    """All links of members outside their bucket's largest group, found in blocks of bounded size.
+
+    A block holds ``outer`` of these and ``inner`` of the bucket's members, about; it counts
+    common shingles exactly and gives links alone, so no pair but a link is ever a row.
+    """
+    sizes = members.groupBy("bucket", "comp").agg(F.count(F.lit(1)).alias("_n"))
+    main = sizes.groupBy("bucket").agg(F.max_by("comp", F.struct("_n", "comp")).alias("_main"), F.sum("_n").alias("_all"), F.max("_n").alias("_most"))
+    known = members.join(main, "bucket")
+    outs, ins = F.ceil((F.col("_all") - F.col("_most")) / outer).cast("int"), F.ceil(F.col("_all") / inner).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+    row = ["bucket", "id", "comp"]
+    a = known.where("comp <> _main").withColumns({"_o": F.pmod(F.xxhash64("id"), outs).cast("int"), "_i": every(ins)}).select(*row, "_o", "_i", F.lit(True).alias("outer"))
+    b = known.withColumns({"_i": F.pmod(F.xxhash64("id", F.lit(1)), ins).cast("int"), "_o": every(outs)}).select(*row, "_o", "_i", F.lit(False).alias("outer"))
+    rows = a.unionByName(b).join(s["texts"].select("id", "text"), "id")
+    found = rows.groupBy("bucket", "_o", "_i").applyInArrow(_block(s["k"], s["percent"]), "u long, v long")
+    return scratch.save(found.distinct(), "links")
+
+
 def _links(body: DataFrame, reps: DataFrame, k: int, percent: int, pivots: int) -> DataFrame:
-    spark = body.sparkSession
     every = reps.select(F.explode("bands").alias("bucket"), "id", F.col("n_shingles").alias("n"))
     shared = every.groupBy("bucket").agg(F.min("id").alias("_lo"), F.max("id").alias("_hi")).where("_lo < _hi").select("bucket")
-    members = scratch.save(every.join(shared, "bucket").withColumn("comp", F.col("id")), "members")
+    members = scratch.save(every.join(shared, "bucket").withColumns({"comp": F.col("id"), "own": F.lit(0).cast("long")}), "members")
     wanted = members.select("id").distinct()
-    sigs = scratch.save(reps.select("id", "sig").join(wanted, "id", "left_semi"), "sigs")
-    texts = scratch.save(body.join(wanted, "id", "left_semi"), "texts")
     deviation = (percent / 100 * (1 - percent / 100) / PLACES) ** 0.5
-    least = percent / 100 - 6 * deviation
-    links = spark.createDataFrame([], "u long, v long")
-    tried = spark.createDataFrame([], "a long, b long")
-    many = 1
-    while not members.isEmpty():
-        # Members outside a bucket's largest group come first: a pair inside it is settled.
-        sizes = members.groupBy("bucket", "comp").agg(F.count(F.lit(1)).alias("_n"))
-        main = sizes.groupBy("bucket").agg(F.max_by("comp", F.struct("_n", "comp")).alias("_main"))
-        ranked = [F.min(F.struct((F.col("comp") == F.col("_main")).alias("m"), F.xxhash64("id", F.lit(i)).alias("h"), F.col("id").alias("id"))).getField("id") for i in range(many)]
-        chosen = members.join(main, "bucket").groupBy("bucket").agg(F.array_distinct(F.array(*ranked)).alias("_p")) if many > 1 else members.groupBy("bucket").agg(F.array(F.min("id")).alias("_p"))
-        chosen = scratch.save(chosen.select("bucket", F.explode("_p").alias("pivot")), "pivots")
-        known = members.select("bucket", F.col("id").alias("pivot"), F.col("comp").alias("_pc"), F.col("n").alias("_pn"))
-        named = known.join(chosen, ["bucket", "pivot"])
-        near = (100 * F.least("n", "_pn") >= percent * F.greatest("n", "_pn")) & (F.col("comp") != F.col("_pc"))
-        pairs = members.join(named, "bucket").where(near).select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b")).distinct()
-        pairs = scratch.save(pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
-        tried = tried.unionByName(pairs)
-        a, b = (sigs.select(F.col("id").alias(x), F.col("sig").alias(f"sig_{x}")) for x in "ab")
-        likely = pairs.join(a, "a").join(b, "b").select("a", "b", "sig_a", "sig_b").mapInArrow(_likely(least), "a long, b long")
-        likely = scratch.save(likely, "likely")
-        a, b = (texts.select(F.col("id").alias(x), F.col("text").alias(f"text_{x}")) for x in "ab")
-        fresh = likely.join(b, "b").join(a, "a").select("a", "b", "text_a", "text_b").mapInArrow(_confirm(k, percent), "a long, b long")
-        links = links.unionByName(scratch.save(fresh.select(F.col("b").alias("u"), F.col("a").alias("v")), "links"))
-        comps = components(links)
-        left = members.join(chosen.withColumnRenamed("pivot", "id"), ["bucket", "id"], "left_anti").drop("comp").join(comps, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
-        left = scratch.save(left.select("bucket", "id", "n", "comp"), "left")
-        open_ = left.groupBy("bucket").agg(F.min("comp").alias("_lo"), F.max("comp").alias("_hi")).where("_lo < _hi").select("bucket")
-        members = scratch.save(left.join(open_, "bucket"), "members")
-        many = pivots
-    return links
+    s = {
+        "k": k, "percent": percent, "least": percent / 100 - 6 * deviation,
+        "sigs": scratch.save(reps.select("id", "sig").join(wanted, "id", "left_semi"), "sigs"),
+        "texts": scratch.save(body.join(wanted, "id", "left_semi"), "texts"),
+    }
+    # One pivot a bucket: tight groups become one.
+    chosen = scratch.save(members.groupBy("bucket").agg(F.min("id").alias("pivot")), "pivots")
+    links = _compare(s, members, chosen)
+    members = _still_open(members, links)
+    # Small buckets compare all that is left; large ones a few of their most central members, which have the fewest
+    # shingles of their own. Each task passes on the first few of a bucket alone, so none is gathered to be ranked.
+    members = _bounded(members, s["texts"], k, percent, pivots)
+    order = Window.partitionBy("bucket").orderBy("own", F.xxhash64("id"), "id")
+    first = members.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= pivots)
+    chosen = scratch.save(first.where("NOT big OR _r <= 4").select("bucket", F.col("id").alias("pivot")), "pivots")
+    links = links.unionByName(_compare(s, members, chosen))
+    members = _still_open(members.where("big"), links)
+    # What is still apart from the largest group of a large bucket.
+    return links.unionByName(_in_blocks(s, members))
