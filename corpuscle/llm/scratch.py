@@ -33,6 +33,8 @@ def root(spark: SparkSession) -> str:
     """The shared folder; a temporary one only where the session names none (tests)."""
     at = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         at = "file://" + tempfile.mkdtemp(prefix="corpuscle-")
         spark.conf.set("spark.checkpoint.dir", at)
     return at
