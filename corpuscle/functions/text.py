@@ -37,6 +37,19 @@ def lexical_tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit("([a-z0-9_]+)"), 1)
 
 
+def nfkc(text: Column) -> Column:
+    """Compatibility composition, which Spark lacks: by Arrow batches in Python. ASCII text is in normal form already."""
+    import unicodedata
+
+    import pandas as pd
+
+    @F.pandas_udf("string")
+    def run(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: t if t is None or t.isascii() else unicodedata.normalize("NFKC", t))
+
+    return run(text)
+
+
 def fold_dashes(text: Column) -> Column:
     return F.translate(text, DASHES, "-" * len(DASHES))
 

@@ -21,8 +21,10 @@ def first_hits(ranked: DataFrame, wanted: DataFrame) -> DataFrame:
     return first.select("qid", "first_hit_rank", F.when(scored, F.coalesce(1.0 / F.col("first_hit_rank"), F.lit(0.0))).alias("reciprocal_rank"), F.when(scored, F.col("first_hit_rank").isNotNull()).alias("hit"))
 
 
-def recall_at_k(found: DataFrame, expected: DataFrame) -> DataFrame:
+def recall_at_k(found: DataFrame, expected: DataFrame, fold: bool = False) -> DataFrame:
     """(qid, source_file) and (qid, fragment) to (qid, recall): which expected fragments stand in a retrieved path."""
+    if fold:
+        found, expected = found.withColumn("source_file", T.nfkc(F.col("source_file"))), expected.withColumn("fragment", T.nfkc(F.col("fragment")))
     paths = found.select("qid", T.normalize_path(F.col("source_file")).alias("_p")).distinct()
     parts = expected.select("qid", T.normalize_path(F.col("fragment")).alias("_f")).distinct()
     met = parts.join(paths, "qid", "left").groupBy("qid", "_f").agg(F.coalesce(F.max(F.contains("_p", "_f").cast("int")), F.lit(0)).alias("_hit"))
@@ -45,11 +47,14 @@ def citation_validity(answer: Column, n_docs: Column) -> tuple[Column, Column]:
     return F.when(F.size(used) > 0, valid / F.size(used)), dangling
 
 
-def groundedness(answers: DataFrame, docs: DataFrame, n: int = 2) -> DataFrame:
+def groundedness(answers: DataFrame, docs: DataFrame, n: int = 2, fold: bool = False) -> DataFrame:
     """(qid, answer) and (qid, rank, text) to one row per answer: score, n_sentences_scored, n_sentences_uncited, worst_overlap, worst_sentence.
 
     A sentence with marks scores the largest share of its n-grams that a cited document has.
+    ``fold`` brings both into normal form first, for text that may hold compatibility characters.
     """
+    if fold:
+        answers, docs = answers.withColumn("answer", T.nfkc(F.col("answer"))), docs.withColumn("text", T.nfkc(F.col("text")))
     each = answers.select("qid", F.posexplode_outer(T.sentences(F.col("answer"))).alias("at", "sentence"))
     size = docs.groupBy("qid").agg(F.max("rank").alias("_n"))
     cited = each.join(size, "qid", "left").select("qid", "at", "sentence", F.array_distinct(F.filter(T.citations(F.col("sentence")), lambda c: (c >= 1) & (c <= F.coalesce("_n", F.lit(0))))).alias("cited"))

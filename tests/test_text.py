@@ -51,3 +51,16 @@ def test_paths_and_ids(spark):
 def test_dates(spark):
     got = [one(spark, T.note_date(F.lit(t)))[0] for t in ("28.05.2026", "2026-05-28", "note")]
     assert got == ["2026-05-28", "2026-05-28", None]
+
+
+def test_folding(spark):
+    found = spark.createDataFrame([(1, "ﬁle/Ａ.pdf")], "qid int, source_file string")
+    wanted = spark.createDataFrame([(1, "file/a"), (1, "other")], "qid int, fragment string")
+    assert E.recall_at_k(found, wanted, fold=True).first()["recall"] == 0.5
+
+
+def test_groundedness(spark):
+    docs = spark.createDataFrame([(1, 1, "Gradient clipping limits exploding gradients."), (1, 2, "Nothing else.")], "qid int, rank int, text string")
+    answers = spark.createDataFrame([(1, "Gradient clipping limits exploding gradients [1]. Bananas grow in tropical soil [2]. No mark.")], "qid int, answer string")
+    r = E.groundedness(answers, docs).first()
+    assert (r["n_sentences_scored"], r["n_sentences_uncited"], r["worst_overlap"]) == (2, 1, 0.0) and r["score"] == 0.5
