@@ -1,10 +1,12 @@
-"""Text expressions: tokens, labels, identifiers, parsing of answers. All run in the JVM."""
+"""Text expressions: tokens, labels, identifiers, parsing of answers. All but ``nfkc`` run in the JVM."""
 
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections.abc import Mapping, Sequence
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -39,10 +41,6 @@ def lexical_tokens(text: Column) -> Column:
 
 def nfkc(text: Column) -> Column:
     """Compatibility composition, which Spark lacks: by Arrow batches in Python. ASCII text is in normal form already."""
-    import unicodedata
-
-    import pandas as pd
-
     @F.pandas_udf("string")
     def run(texts: pd.Series) -> pd.Series:
         return texts.map(lambda t: t if t is None or t.isascii() else unicodedata.normalize("NFKC", t))
