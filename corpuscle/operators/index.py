@@ -38,11 +38,12 @@ def write(chunks: DataFrame, root: str) -> None:
 def search(spark: SparkSession, root: str, queries: DataFrame, digits: int = 6) -> DataFrame:
     """As ``lanes.bm25``, from index tables."""
     asked = queries.select("qid", F.explode(T.tokens(F.col("question"))).alias("term")).groupBy("qid", "term").agg(F.count(F.lit(1)).alias("qtf"))
+    send = F.broadcast if asked.limit(lanes.MOST_BROADCAST + 1).count() <= lanes.MOST_BROADCAST else lanes.keep
     stats = spark.read.parquet(f"{root}/corpus_stats").select("n", "avgdl")
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weighted = asked.join(spark.read.parquet(f"{root}/term_stats"), "term").crossJoin(F.broadcast(stats)).select("qid", "term", "avgdl", (F.col("qtf") * idf).alias("w"))
     part = F.col("w") * F.col("tf") / (F.col("tf") + lanes.K1 * (1 - lanes.B + lanes.B * F.col("dl") / F.col("avgdl")))
-    met = spark.read.parquet(f"{root}/postings").join(lanes.small(weighted), "term")
+    met = spark.read.parquet(f"{root}/postings").join(send(weighted), "term")
     return met.groupBy("qid", "chunk_id").agg(F.round(F.sum(part), digits).alias("score")).where("score > 0")
 
 

@@ -415,8 +415,9 @@ def mean_scored(spark, sf_dir):
 
 
 def branches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    both = main_lanes(spark, sf_dir).where("rank0 < 10").select("qid", F.col("lane").alias("branch"), F.col("lane_ord").alias("branch_ord"), (F.col("rank0") + 1).alias("rank"), "chunk_id")
-    fused = fusion.ranked(fusion.fuse(main_lanes(spark, sf_dir)), 7).select("qid", F.lit("rrf").alias("branch"), F.lit(2).alias("branch_ord"), "rank", "chunk_id")
+    found = main_lanes(spark, sf_dir)
+    both = found.where("rank0 < 10").select("qid", F.col("lane").alias("branch"), F.col("lane_ord").alias("branch_ord"), (F.col("rank0") + 1).alias("rank"), "chunk_id")
+    fused = fusion.ranked(fusion.fuse(found), 7).select("qid", F.lit("rrf").alias("branch"), F.lit(2).alias("branch_ord"), "rank", "chunk_id")
     return both.unionByName(fused)
 
 
