@@ -203,7 +203,7 @@ def repeated(docs: DataFrame, key: str, text: str, length: int = 50) -> tuple[Da
     """(id, gone: hashes of the windows that also start in a smaller doc_id) and (id, mark) of texts that repeat a smaller one."""
     body = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text")).where("id IS NOT NULL")
     marks = scratch.save(body.mapInArrow(_sequences, "id long, mark binary"), "marks")
-    firsts = marks.groupBy("mark").agg(F.min("id").alias("first"), F.max("id").alias("_top")).where("first < _top").select("mark", "first")
+    firsts = scratch.save(marks.groupBy("mark").agg(F.min("id").alias("first"), F.max("id").alias("_top")).where("first < _top").select("mark", "first"), "firsts")
     copies = scratch.save(marks.join(firsts, "mark").where("id > first").select("id", "mark", "first").distinct(), "copies")
     # A doc_id with several texts stays a text of its own for each; its copies of others go through the levels too.
     lone = marks.groupBy("id").agg(F.max("mark").alias("_a"), F.min("mark").alias("_b")).where("_a = _b").select("id")
@@ -211,13 +211,14 @@ def repeated(docs: DataFrame, key: str, text: str, length: int = 50) -> tuple[Da
     reps = body.join(skip, "id", "left_anti")
 
     one = scratch.save(reps.mapInArrow(_level1(length), "id long, q long, l long, r long"), "quarters")
-    often = one.groupBy("q").agg(F.min("id").alias("_lo"), F.max("id").alias("_hi")).where("_lo < _hi").select("q")
+    # Saved, so that the join below has plain exchanges on both sides and a hot key can be split.
+    often = scratch.save(one.groupBy("q").agg(F.min("id").alias("_lo"), F.max("id").alias("_hi")).where("_lo < _hi").select("q"), "often")
     two = one.join(often, "q").select("id", F.explode(F.array("l", "r")).alias("h")).where("h IS NOT NULL").distinct()
     two = scratch.save(two, "halves")
-    often = two.groupBy("h").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("h")
+    often = scratch.save(two.groupBy("h").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("h"), "often")
     halves = two.join(often, "h").groupBy("id").agg(F.collect_list("h").alias("halves"))
     three = scratch.save(reps.join(halves, "id").mapInArrow(_level3(length), "id long, h1 long, h2 long"), "windows")
-    least = three.groupBy("h1", "h2").agg(F.min("id").alias("_lo"), F.max("id").alias("_hi")).where("_lo < _hi").drop("_hi")
+    least = scratch.save(three.groupBy("h1", "h2").agg(F.min("id").alias("_lo"), F.max("id").alias("_hi")).where("_lo < _hi").drop("_hi"), "least")
     gone = three.join(least, ["h1", "h2"]).where("id > _lo").groupBy("id").agg(F.collect_set("h1").alias("gone"))
     return scratch.save(gone, "gone"), copies.select("id", "mark").join(lone, "id", "left_semi")
 
