@@ -49,7 +49,7 @@ class Engine:
             meta = self.vectors.join(self.chunks.select("chunk_id", "file_type"), "chunk_id")
             found += [lanes.top(lanes.dense(self.vectors, query_vectors), k["dense_k"], "dense", 0), lanes.top(lanes.dense(meta, query_vectors, lanes.code_filter()), lanes.narrow(k["dense_k"]), "dense_code", 2)]
         if self.questions is not None and query_vectors is not None:
-            hits = lanes.top(lanes.dense(self.questions.select(F.col("question_id").alias("chunk_id"), "embedding"), query_vectors), 15, "hype", 6)
+            hits = lanes.top(lanes.dense(self.questions.select(F.col("question_id").alias("chunk_id"), "embedding"), query_vectors), 15, "questions", 6)
             found.append(lanes.question_hits(hits.withColumnRenamed("chunk_id", "question_id"), self.questions))
         if live is not None:
             found.append(live)
