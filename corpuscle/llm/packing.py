@@ -23,6 +23,7 @@ an empty result. A null key is kept and sorts first.
 
 from __future__ import annotations
 
+import functools
 import os
 import zlib
 from collections.abc import Iterator, Sequence
@@ -42,6 +43,18 @@ REMEMBERED = 2_000_000
 _held: dict[str, Ids] = {}
 
 
+def id_type(ids: int) -> np.dtype:
+    return np.dtype("<u2" if ids <= 1 << 16 else "<u4")
+
+
+@functools.lru_cache
+def vocabulary_size(path: str) -> int:
+    """For the driver, which needs no more of a vocabulary and doesn't keep it."""
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(path).get_vocab_size()
+
+
 class Ids:
     """Token ids of texts: each text's as one array, from words met before where that can be."""
 
@@ -50,7 +63,7 @@ class Ids:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.type = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
+        self.type = id_type(self.tokenizer.get_vocab_size())
         names = self.tokenizer.get_vocab()
         self.closes = np.zeros(max(names.values(), default=0) + 1, bool)
         self.closes[[i for name, i in names.items() if name.endswith("</w>")]] = True
@@ -253,14 +266,14 @@ def pack(docs: DataFrame, vocabulary: str, key: str = "doc_id", text: str = "tex
     ``vocabulary`` is the path of a tokenizers file that executors can open.
     """
     spark = docs.sparkSession
-    width = Ids.of(vocabulary).type.itemsize
+    kind = id_type(vocabulary_size(vocabulary))
     body = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
     # Saved, because the range-sort reads its input twice: once for the bounds of its ranges.
     keyed = scratch.save(body.mapInArrow(_tokenise(vocabulary, end), "id long, curve long, crc long, tokens binary"), "tokens")
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
     order = ["curve", "id", "crc"]
     along = keyed.repartitionByRange(tasks, *order).sortWithinPartitions(*order)
-    laid = scratch.save(along.mapInArrow(_place(width), "id long, task int, row long, at long, n long, tokens binary"), "laid")
+    laid = scratch.save(along.mapInArrow(_place(kind.itemsize), "id long, task int, row long, at long, n long, tokens binary"), "laid")
     # One row for each task of the range-sort.
     totals = {r["task"]: r["z"] for r in laid.groupBy("task").agg(F.sum("n").alias("z")).collect()}
     starts, at = [], 0
@@ -269,5 +282,5 @@ def pack(docs: DataFrame, vocabulary: str, key: str = "doc_id", text: str = "tex
         at += totals[t]
     base = spark.createDataFrame(starts, "task int, base long")
     placed = laid.join(F.broadcast(base), "task").select("id", "task", "row", (F.col("at") + F.col("base")).alias("place"), "n", "tokens")
-    pieces = placed.mapInArrow(_pieces(size, np.dtype("<u2" if width == 2 else "<u4")), "id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, task int, row long")
+    pieces = placed.mapInArrow(_pieces(size, kind), "id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, task int, row long")
     return pieces.withColumnRenamed("id", key)

@@ -143,22 +143,22 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     size = {r["toxic"]: r["n"] for r in labelled.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not size.get(0) or not size.get(1):
         return None
-    # FEATURES rows at most.
-    seen = labelled.mapInArrow(_presence, "f int, p long, q long").groupBy("f").agg(F.sum("p").alias("p"), F.sum("q").alias("q")).toArrow()
-    p, q = np.zeros(FEATURES), np.zeros(FEATURES)
-    at = seen.column("f").to_numpy()
-    p[at], q[at] = seen.column("p").to_numpy(), seen.column("q").to_numpy()
     toxic, clean = size[1], size[0]
     smooth = min(100.0, max(2.0, (toxic + clean) / 25))
     a, b = smooth * toxic / (toxic + clean), smooth * clean / (toxic + clean)
-    ratio = np.log((p + a) / (toxic + a)) - np.log((q + b) / (clean + b))
-    ratio[np.abs(ratio) < LEAST_RATIO] = 0
-    shared = docs.sparkSession.sparkContext.broadcast(ratio.astype(np.float32))
+    seen = labelled.mapInArrow(_presence, "f int, p long, q long").groupBy("f").agg(F.sum("p").alias("p"), F.sum("q").alias("q"))
+    value = F.log((F.col("p") + a) / (toxic + a)) - F.log((F.col("q") + b) / (clean + b))
+    # FEATURES rows at most; those that say little stay behind.
+    telling = seen.select("f", value.cast("float").alias("r")).where(F.abs("r") >= LEAST_RATIO).toArrow()
+    ratio = np.zeros(FEATURES, np.float32)
+    ratio[telling.column("f").to_numpy()] = telling.column("r").to_numpy()
+    shared = docs.sparkSession.sparkContext.broadcast(ratio)
     chosen = labelled.mapInArrow(_chosen(shared), "toxic int, h long, f array<int>, v array<float>").orderBy("h", "toxic").toArrow().combine_chunks()
+    shared.destroy()
     f, v = (chosen.column(c).combine_chunks() for c in ("f", "v"))
     sizes = np.diff(f.offsets.to_numpy())
     weights, bias = fit(chosen.column("toxic").to_numpy().astype(np.float64), sizes, f.flatten().to_numpy(), v.flatten().to_numpy())
-    return weights * ratio.astype(np.float32), bias
+    return weights * ratio, bias
 
 
 def _scored(model):
