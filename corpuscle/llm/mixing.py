@@ -7,6 +7,11 @@ weight. A source's documents are shuffled by a hash, laid end to end and cut int
 blocks of equally many words; its k-th slot takes its k-th block, wrapping around
 when the blocks run out. The join of slots and blocks gives the words taken.
 
+A source whose share is too small for the schedule, or whose blocks are not all full,
+meets fewer points than it has blocks to give. It gets the slots it lacks besides,
+spread evenly over the mix, so that every source is taken up to its target, whatever
+the size of a block. Slots of several sources may then have one number.
+
 Nothing gathers a source into one task: positions and ranks are prefix sums in two
 levels, first over hash-range chunks of a source (or runs of slots), then within
 a chunk, so a source with a third of all rows is spread over all chunks. Only
@@ -20,6 +25,7 @@ result; a source of size 0 has target 0.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -83,17 +89,24 @@ def n_slots(total: float, block: int) -> int:
     return n + n // 64 + 64
 
 
+def needed(size: int, target: float, block: int) -> int:
+    """Slots that a source needs to reach its target: every pass ends with a block of its own."""
+    passes, rest = divmod(math.floor(target), size) if size else (0, 0)
+    return passes * -(-size // block) + -(-rest // block)
+
+
 def schedule(spark: SparkSession, table: DataFrame, block: int, bits: int, run: int = 1 << 14) -> DataFrame:
     """The mix: slot, _s and rank (the slot's number among its source's, from 0).
 
     Cumulative weights are scaled to 2**bits; each interval is dealt to bins of the
     unit interval, so that slots meet their source in an equality join on the bin.
+    Every source has the slots that it needs at least.
     """
     rows = table.orderBy("_s").collect()
     total = sum(r["target"] for r in rows)
     if total <= 0:
         return spark.createDataFrame([], "slot long, _s int, rank long")
-    # A few more slots than the mix needs: each source is cut at its target, and so all reach it.
+    # A few more slots than the mix needs, as each source is cut at its target.
     n, whole, width = n_slots(total, block), 1 << bits, 1 << max(0, bits - 12)
     shares, low = [], 0.0
     for r in rows:
@@ -103,7 +116,13 @@ def schedule(spark: SparkSession, table: DataFrame, block: int, bits: int, run:
         low = high
     bins = spark.createDataFrame(shares, "_bin long, _s int, _a long, _b long")
     slots = spark.range(n).select(F.col("id").alias("slot"), van_der_corput(F.col("id"), bits).alias("_u")).withColumn("_bin", F.floor(F.col("_u") / width).cast("long"))
-    dealt = slots.join(bins, "_bin").where("_u >= _a AND _u < _b").select("slot", "_s", F.floor(F.col("slot") / run).cast("long").alias("_run"), F.lit(1).cast("long").alias("_one"))
+    dealt = slots.join(bins, "_bin").where("_u >= _a AND _u < _b").select("slot", "_s")
+    # What a source lacks; the golden ratio keeps different sources apart from each other.
+    needs = spark.createDataFrame([(r["_s"], needed(r["source_size"], r["target"], block), (r["_s"] * 0.6180339887498949) % 1) for r in rows], "_s int, _need long, _phase double")
+    lacks = needs.join(dealt.groupBy("_s").agg(F.count(F.lit(1)).alias("_has")), "_s", "left").withColumn("_lack", F.col("_need") - F.coalesce("_has", F.lit(0))).where("_lack > 0")
+    added = lacks.withColumn("_i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_lack") - 1)))
+    added = added.select(F.floor((F.col("_i") + F.col("_phase")) / F.col("_lack") * -(-int(total) // block)).cast("long").alias("slot"), "_s")
+    dealt = dealt.union(added).select("slot", "_s", F.floor(F.col("slot") / run).cast("long").alias("_run"), F.lit(1).cast("long").alias("_one"))
     return running(dealt, "_one", ["_s"], "_run", ["slot"], "rank").select("slot", "_s", "rank")
 
 
@@ -120,6 +139,7 @@ def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str =
     ``pieces`` lists what the mix takes of the document, in schedule order: slot, start
     (its first word, from 0) and n (words). ``slots`` bounds the length of the schedule:
     a block has as many words as make the whole mix fit, and ``least_block`` at least.
+    Slots that single sources lack come on top, a few for each source.
     The last block that a source gives is cut at its target.
     """
     spark = docs.sparkSession

@@ -307,6 +307,21 @@ def test_op9_mixing(docs, rows, empty):
     assert total == sum(r["taken"] for r in got.values())
 
 
+def test_op9_small_sources_reach_their_target(spark):
+    made = [("huge", " ".join(["w"] * 500))] * 90 + [(f"tiny{i:03}", " ".join(["t"] * n)) for i in range(150) for n in (3, 1 + i % 40)] + [(f"mid{i}", " ".join(["m"] * 701)) for i in range(9)]
+    df = spark.createDataFrame([(i, t, s) for i, (s, t) in enumerate(made)], "doc_id long, text string, source string")
+    for slots in (100, 2_000_000):
+        got = mixing.mix(df, slots=slots).collect()
+        taken, target = collections.Counter(), {}
+        for r in got:
+            taken[r["source"]] += r["taken"]
+            target[r["source"]] = r["target"]
+        assert {s: taken[s] for s in target} == {s: math.floor(t) for s, t in target.items()}
+    got = mixing.mix(df, slots=100).where("source LIKE 'tiny%'").collect()
+    early = sum(p["n"] for r in got for p in r["pieces"] if p["slot"] < 50)
+    assert abs(early - sum(r["taken"] for r in got) / 2) < 0.1 * sum(r["taken"] for r in got)
+
+
 def test_op10_substrings(spark, docs, rows, empty):
     for df, data in ((docs, rows), (docs.union(docs.where("doc_id = 1005")), rows)):
         got = {r["doc_id"]: r for r in substring_dedup.dedup(df).collect()}
