@@ -1,9 +1,12 @@
 """Licence scans by sentence rules.
 
-Texts are cut into sentences, and each sentence is normalised (case, spaces,
-punctuation, years and holders) and looked up among known licence sentences. What
-remains of a text is a sequence of sentence identifiers, and a licence is recognised
-where the ordered identifiers of one of its rules occur in that sequence in order.
+Texts are cut into units at line ends and sentence ends, and normalised (case, spaces,
+punctuation). A known licence sentence is one unit or several that follow each other
+without an empty line between, so that it is found however a notice is wrapped or
+commented out; years and holders within it may be any. Where several known sentences
+start, the longest counts. What remains of a text is a sequence of sentence
+identifiers, and a licence is recognised where the ordered identifiers of one of its
+rules occur in that sequence in order.
 
 Known sentences and rules grow with the rules, not with the texts: they are literal
 maps of the plan, so texts are scanned where they are read, without an exchange. Only
@@ -57,6 +60,31 @@ SENTENCES: dict[str, str] = {
     "spdx-gpl-3": "SPDX-License-Identifier: GPL-3.0-or-later",
     "spdx-bsd-3": "SPDX-License-Identifier: BSD-3-Clause",
 }
+#: Whole sentences of the usual notices, with the identifiers of what they hold. "*" is a holder or a
+#: name, "~" one that ends on its line, "#" a year; a sentence that starts with "*" may follow any words.
+WHOLE: tuple[tuple[str, str], ...] = (
+    ("apache-2-licensed apache-2-use", "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License"),
+    ("apache-2-licensed apache-2-use", "* licenses this file to you under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License"),
+    ("apache-2-as-is", "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied"),
+    ("mit-name", "MIT License"),
+    ("mit-name", "The MIT License (MIT)"),
+    ("mit-grant", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions"),
+    ("mit-notice", "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software"),
+    ("mit-notice", "The above copyright notice and this permission notice (including the next paragraph) shall be included in all copies or substantial portions of the Software"),
+    ("as-is", "THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT"),
+    ("bsd-redistribution", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
+    ("bsd-source", "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer"),
+    ("bsd-binary", "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution"),
+    ("bsd-endorse", "Neither the name of * nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission"),
+    ("gpl-free gpl-or-later", "* is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version"),
+    ("gpl-free gpl-2-or-later", "* is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version"),
+    ("lgpl-free", "* is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version"),
+    ("lgpl-free", "* is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version"),
+    ("cc-by", "This work is licensed under a Creative Commons Attribution 4.0 International License"),
+    ("cc-by-sa", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License"),
+    ("all-rights", "Copyright ~ All rights reserved"),
+    ("all-rights", "(c) # ~ All rights reserved"),
+)
 #: Licences by the sentences that must follow each other, others between them allowed.
 RULES: tuple[tuple[str, tuple[str, ...]], ...] = (
     ("Apache-2.0", ("apache-2-licensed",)), ("Apache-2.0", ("apache-2-licensed", "apache-2-use", "apache-2-as-is")), ("Apache-2.0", ("spdx-apache-2",)),
@@ -68,14 +96,52 @@ RULES: tuple[tuple[str, tuple[str, ...]], ...] = (
 
 
 def normalise(sentence: str) -> str:
-    """The form in which sentences are compared; ``sentences`` does the same to a column."""
+    """The form in which sentences are compared; ``units`` does the same to a column."""
     return re.sub("[^a-z0-9]+", " ", re.sub("[A-Z]", lambda m: m[0].lower(), sentence)).strip()
 
 
-def sentences(text: Column) -> Column:
-    """The normalised sentences of a text: cut at line ends and after ``.``, ``!`` or ``?`` before white space."""
+def units(text: Column) -> Column:
+    """The normalised units of a text, each between line ends: cut at line ends and after ``.``, ``!`` or ``?`` before white space.
+
+    An empty line is marked by ``;``.
+    """
     cut = F.regexp_replace(F.translate(F.coalesce(text, F.lit("")), UPPER, UPPER.lower()), r"([.!?])[ \t\r]+", "$1\n")
-    return F.transform(F.split(F.regexp_replace(cut, r"[^a-z0-9\n]+", " "), "\n"), lambda s: F.trim(s))
+    out = F.concat(F.lit("\n"), F.regexp_replace(cut, r"[^a-z0-9\n]+", " "), F.lit("\n"))
+    for old, new in ((" \n", "\n"), ("\n ", "\n"), ("\n\n", "\n;\n")):
+        out = F.replace(out, F.lit(old), F.lit(new))
+    return out
+
+
+_GAPS = {"*": r"[a-z0-9 \n]+?", "~": "[a-z0-9 ]+?", "#": "[0-9]{4}"}
+
+
+def _parts(sentence: str) -> list[str]:
+    """Normalised words, and gaps between them."""
+    return [w for part in re.split(r"([*~#])", sentence) for w in ([part] if part in _GAPS else normalise(part).split())]
+
+
+def sentence_pattern(sentences: Sequence[str]) -> str:
+    """Over units: any of these sentences, the longest first."""
+    lines, inner = [], []
+    for parts in sorted((_parts(s) for s in sentences), key=lambda p: (-len(p), p)):
+        named = parts[0] == "*"
+        body = r"[ \n]".join(_GAPS.get(w, w) for w in parts[named:])
+        # A sentence with a name before it also starts where a shorter known sentence spells the name out.
+        lines.append(rf"(?:this[ \n][a-z0-9]+[ \n])?{body}" if named else body)
+        inner += [body] if named else []
+    pattern = rf"(?<=\n)(?:{'|'.join(lines)})(?=\n)"
+    return pattern + (rf"|(?<=[ \n])(?:{'|'.join(inner)})(?=\n)" if inner else "")
+
+
+def sentence_form(found: Column, sentences: Sequence[str]) -> Column:
+    """What ``sentence_pattern`` has found, on one line and with gaps for years, holders and names."""
+    out = F.replace(found, F.lit("\n"), F.lit(" "))
+    for parts in map(_parts, sentences):
+        if any(w in _GAPS for w in parts):
+            named = parts[0] == "*"
+            body = " ".join(_GAPS.get(w, w) for w in parts[named:])
+            out = F.regexp_replace(out, rf"^(?:this [a-z0-9]+ )?{body}$" if named else f"^{body}$", " ".join(parts))
+    return out
 
 
 def rule_pattern(ids: Sequence[str]) -> str:
@@ -83,20 +149,25 @@ def rule_pattern(ids: Sequence[str]) -> str:
     return "(^| )" + " ([^ ]+ )*".join(ids) + " "
 
 
-def scan(docs: DataFrame, keep: Sequence[str] = ("doc_id",), text: str = "text", known: Mapping[str, str] | None = None, rules: Sequence[tuple[str, Sequence[str]]] | None = None) -> DataFrame:
+def scan(docs: DataFrame, keep: Sequence[str] = ("doc_id",), text: str = "text", known: Mapping[str, str] | None = None, rules: Sequence[tuple[str, Sequence[str]]] | None = None, whole: Sequence[tuple[str, str]] | None = None) -> DataFrame:
     """``keep`` plus n_known (known sentences), sentence_ids and licenses (joined by spaces), license.
 
-    ``licenses`` names each recognised licence once, in order of name.
+    ``licenses`` names each recognised licence once, in order of name. ``whole`` are
+    sentences that hold one or more of the known ones (by default those of the usual
+    notices, unless other sentences are given).
     """
+    whole = (WHOLE if known is None else ()) if whole is None else whole
     known = SENTENCES if known is None else known
     rules = RULES if rules is None else rules
-    by_form = {normalise(s): i for i, s in known.items()}
+    by_form = {normalise(s): i for i, s in known.items()} | {" ".join(_parts(s)): ids for ids, s in whole}
     lookup = F.create_map(*[F.lit(x) for pair in sorted(by_form.items()) for x in pair])
-    found = F.filter(sentences(F.col(text)), lambda s: s.isin(*sorted(by_form)))
+    texts = [*(normalise(s) for s in known.values()), *(s for _, s in whole)]
+    found = F.regexp_extract_all(units(F.col(text)), F.lit(sentence_pattern(texts)), F.lit(0))
     first = docs.select(*keep, found.alias("_found"))
-    second = first.select(*keep, F.transform("_found", lambda s: F.element_at(lookup, s)).alias("_ids"))
+    second = first.select(*keep, F.transform("_found", lambda s: F.element_at(lookup, sentence_form(s, texts))).alias("_ids"))
     # The identifiers, each followed by a space, are matched as one string.
-    third = second.select(*keep, F.size("_ids").cast("long").alias("n_known"), F.array_join("_ids", " ").alias("sentence_ids"))
+    third = second.select(*keep, F.array_join("_ids", " ").alias("sentence_ids"))
+    third = third.select(*keep, F.when(F.col("sentence_ids") == "", 0).otherwise(F.size(F.split("sentence_ids", " "))).cast("long").alias("n_known"), "sentence_ids")
     line = F.concat("sentence_ids", F.lit(" "))
     ordered = sorted(rules, key=lambda r: (-len(r[1]), r[0]))
     names = sorted({n for n, _ in rules})

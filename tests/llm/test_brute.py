@@ -127,6 +127,82 @@ def test_op2_licences(spark, docs, rows, empty):
     assert license_scan.scan(empty).count() == 0
 
 
+NOTICES = {
+    ("Apache-2.0", "apache-2-licensed apache-2-use apache-2-as-is"): """Copyright 2019 Some Holder
+
+Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software
+distributed under the License is distributed on an "AS IS" BASIS,
+WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+See the License for the specific language governing permissions and
+limitations under the License.
+""",
+    ("MIT", "mit-name mit-grant mit-notice as-is"): """MIT License
+
+Copyright (c) 2021 A. Holder
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE
+AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER
+""",
+    ("BSD-3-Clause", "all-rights bsd-redistribution bsd-source bsd-binary bsd-endorse"): """Copyright (c) 2015-2020, Holder & Sons, All rights reserved.
+
+Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+
+3. Neither the name of Holder Inc. nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission.
+""",
+    ("GPL-3.0-or-later", "gpl-free gpl-or-later"): """This program is free software: you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation, either version 3 of the License, or
+(at your option) any later version.
+""",
+    ("GPL-2.0-or-later", "gpl-free gpl-2-or-later"): """Some Tool is free software; you can redistribute it and/or modify it
+under the terms of the GNU General Public License
+as published by the Free Software Foundation; either version 2 of the
+License, or (at your option) any later version.
+""",
+    ("MPL-2.0", "mpl-2"): """This Source Code Form is subject to the terms of the Mozilla Public
+License, v. 2.0. If a copy of the MPL was not distributed with this
+""",
+}
+
+
+def test_op2_wrapped_notices(spark):
+    marks = ("", " * ", "// ", "# ")
+    made = [(i, "".join(f"{m}{x}\r\n" if m == "# " else f"{m}{x}\n" for x in t.split("\n")), want) for i, (m, (want, t)) in enumerate((m, n) for m in marks for n in NOTICES.items())]
+    made += [(100, "Neither the name of\n\nnor the names", (None, "")), (101, "This program is free software: you can redistribute it and/or modify it\nunder the terms of the GNU General Public License\nas published by the Free Software Foundation, either version 3 of the License, or\n(at your option) any later version.", ("GPL-3.0-or-later", "gpl-free gpl-or-later"))]
+    made += [(102, "Permission is hereby granted, free of charge,\n\nto any person obtaining a copy", (None, "")), (103, "Copyright 2020 Holder\nReleased under the MIT License\nAll rights reserved", ("MIT", "mit-released all-rights"))]
+    got = {r["doc_id"]: r for r in license_scan.scan(spark.createDataFrame([x[:2] for x in made], "doc_id int, text string")).collect()}
+    for i, text, (name, ids) in made:
+        assert (got[i]["sentence_ids"], got[i]["license"], got[i]["n_known"]) == (ids, name, len(ids.split())), text
+
+
 def test_op3_packing(spark, docs, rows, empty):
     from tokenizers import Tokenizer
 
