@@ -1,8 +1,9 @@
 """URL filters: pattern rules indexed by their rarest literal token.
 
 A rule has a regular expression over host and path and the literal tokens that any
-URL it fits must contain. Over all URLs the rules' tokens are counted, and each rule
-is filed under its rarest one. A URL's tokens fetch the rules filed under them, and
+URL it fits must contain; a rule whose words may be joined has several such sets of
+tokens. Over all URLs the rules' tokens are counted, and each rule is filed under the
+rarest one of each of its sets. A URL's tokens fetch the rules filed under them, and
 only these run their expression; the longest that fits decides.
 
 The index grows with the rules, not with the URLs. Up to ``most_rules`` rules it is a
@@ -20,6 +21,7 @@ from __future__ import annotations
 import re
 from collections.abc import Sequence
 from dataclasses import dataclass
+from itertools import product
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -29,7 +31,7 @@ TOKEN = "[a-z0-9]+"
 
 @dataclass(frozen=True)
 class Rule:
-    """``pattern`` (Java syntax) is searched in host + path; ``tokens`` are whole tokens of every fitting URL."""
+    """``pattern`` (Java syntax) is searched in host + path; every fitting URL has all of ``tokens``, or all of one of ``joined``, as whole tokens."""
 
     name: str
     verdict: str
@@ -37,6 +39,11 @@ class Rule:
     tokens: tuple[str, ...]
     weight: int
     named: bool = True
+    joined: tuple[tuple[str, ...], ...] = ()
+
+    @property
+    def spellings(self) -> tuple[tuple[str, ...], ...]:
+        return (self.tokens, *self.joined)
 
 
 def site_rule(verdict: str, site: str) -> Rule:
@@ -52,7 +59,9 @@ def site_rule(verdict: str, site: str) -> Rule:
 
 def word_rule(*words: str, verdict: str = "block") -> Rule:
     """A rule on consecutive words of the host, apart from each other by any separator."""
-    return Rule("-".join(words), verdict, r"(?i)^[^/]*\b" + r"[-_.]?".join(words) + r"\b", tuple(words), 0, named=False)
+    # Words without a separator are one token; each gap may have one or not.
+    spelt = [tuple("".join(x for pair in zip(words, (*gaps, "")) for x in pair).split(" ")) for gaps in product((" ", ""), repeat=len(words) - 1)]
+    return Rule("-".join(words), verdict, r"(?i)^[^/]*\b" + r"[-_.]?".join(words) + r"\b", spelt[0], 0, named=False, joined=tuple(spelt[1:]))
 
 
 #: The method's own verdicts, below any site rule.
@@ -73,15 +82,16 @@ def tokens_of(host: Column, path: Column) -> Column:
 
 
 def index_rules(pages: DataFrame, rules: Sequence[Rule], url: str) -> dict[str, list[Rule]]:
-    """Rules by their rarest token over all URLs; under "" those without one."""
-    known = sorted({t for r in rules for t in r.tokens})
+    """Rules by the rarest token, over all URLs, of each of their spellings; under "" those without one."""
+    known = sorted({t for r in rules for s in r.spellings for t in s})
     seen: dict[str, int] = {}
     if known:
         marks = F.array_intersect(tokens_of(host_of(F.col(url)), path_of(F.col(url))), F.array(*map(F.lit, known)))
         seen = {r[0]: r[1] for r in pages.select(F.explode(marks).alias("t")).groupBy("t").count().collect()}  # a row for each of the rules' tokens
     index: dict[str, list[Rule]] = {}
     for r in rules:
-        index.setdefault(min(r.tokens, key=lambda t: (seen.get(t, 0), t), default=""), []).append(r)
+        for token in {min(s, key=lambda t: (seen.get(t, 0), t), default=""): None for s in r.spellings}:
+            index.setdefault(token, []).append(r)
     return index
 
 

@@ -352,6 +352,24 @@ def test_op8_prior_spares_small_hosts(spark):
     assert ("big", False) in kept and ("fine", True) in kept and ("tiny", True) in kept
 
 
+def test_op7_joined_words(spark):
+    words = ("free", "bets"), ("cheap", "pills"), ("spam", "farm"), ("adult", "cams")
+    blocked = [f"http://{h}/x" for w in words for s in ("", "-", ".", "_") for h in (f"{s.join(w)}.example.org", f"www.{s.join(w).upper()}", f"a-{s.join(w)}")]
+    allowed = [f"http://{h}" for h in ("myfreebets.org/", "freebetsy.org", "free.org", "bets.org", "x.org/freebets", "free--bets.org")]
+    three = [f"http://a{s}b{t}c.org" for s in ("", "-") for t in ("", ".")]
+    urls = [*blocked, *allowed, *three]
+    df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    pages = df.toPandas()  # noqa: F841, read by the SQL
+    want = {r[0]: r[1:] for r in duckdb.sql(queries.ORACLE_SQL["op7_url_filter"]).fetchall()}
+    rules = [*(url_filter.site_rule(*x) for x in queries.SITES), *url_filter.WORD_RULES]
+    for most in (2000, 0):
+        got = {r["page_id"]: tuple(r)[1:] for r in url_filter.judge(df, rules, most_rules=most).collect()}
+        assert got == want
+        assert [got[i][3] for i in range(len(urls))] == ["block"] * len(blocked) + ["allow"] * (len(allowed) + len(three))
+        one = url_filter.judge(df, [*rules, url_filter.word_rule("a", "b", "c")], most_rules=most)
+        assert {r["page_id"] for r in one.collect() if r["matched"] == "a-b-c"} == {urls.index(u) for u in three}
+
+
 def test_op9_mixing(docs, rows, empty):
     got = {r["doc_id"]: r for r in mixing.mix(docs).collect()}
     sizes = collections.Counter()
