@@ -35,7 +35,8 @@ LOG = 20
 FEATURES = 1 << LOG
 SIZES = (3, 4, 5)
 MOST_TOXIC, MOST_CLEAN, MOST_CHARS = 4096, 6144, 32_000_000
-LEAST_RATIO = 0.2
+LEAST_RATIO = 0.1
+_PART = 1 << 20
 _FOLD = np.arange(256, dtype=np.uint64)
 _FOLD[65:91] += 32
 _FOLD[[9, 10, 11, 12, 13]] = 32
@@ -120,16 +121,20 @@ def fit(y: np.ndarray, sizes: np.ndarray, f: np.ndarray, v: np.ndarray, epochs:
     Text i has label y[i] and sizes[i] of the features (f, v).
     """
     own = np.repeat(np.arange(len(y), dtype=np.int32), sizes)
-    used, f = np.unique(f, return_inverse=True)
-    f = f.astype(np.int32)
-    scale = np.sqrt(np.square(v, dtype=np.float64).sum() / len(y)) or 1.0
+    used = np.flatnonzero(np.bincount(f, minlength=FEATURES))
+    place = np.zeros(FEATURES, np.int32)
+    place[used] = np.arange(len(used), dtype=np.int32)
+    f = place[f]
+    # By parts, as sums over all features at once take several times their memory.
+    parts = [slice(i, i + _PART) for i in range(0, len(f), _PART)]
+    scale = np.sqrt(sum(np.square(v[p], dtype=np.float64).sum() for p in parts) / len(y)) or 1.0
     v = (v / scale).astype(np.float32)
     w, m, s = (np.zeros(len(used) + 1) for _ in range(3))
     each = np.where(y == 1, 0.5 / max(y.mean(), 1e-9), 0.5 / max(1 - y.mean(), 1e-9)) / len(y)
     for e in range(1, epochs + 1):
-        z = np.bincount(own, weights=v * w[f], minlength=len(y)) + w[-1]
+        z = sum((np.bincount(own[p], weights=v[p] * w[f[p]], minlength=len(y)) for p in parts), np.zeros(len(y))) + w[-1]
         g = each * (1 / (1 + np.exp(-np.clip(z, -50, 50))) - y)
-        grad = np.append(np.bincount(f, weights=v * g[own], minlength=len(used)) + ridge * w[:-1], g.sum())
+        grad = np.append(sum((np.bincount(f[p], weights=v[p] * g[own[p]], minlength=len(used)) for p in parts), ridge * w[:-1]), g.sum())
         m, s = 0.9 * m + 0.1 * grad, 0.99 * s + 0.01 * grad * grad
         w = w - rate * (m / (1 - 0.9**e)) / (np.sqrt(s / (1 - 0.99**e)) + 1e-9)
     out = np.zeros(FEATURES, np.float32)
