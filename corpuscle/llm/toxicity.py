@@ -8,7 +8,8 @@ training texts have it, and a : b = P : Q, so that a feature never seen has rati
 Logistic regression over these values, both classes weighing the same, gives the weights.
 
 Training reads labelled rows alone, and of them a bounded sample, by least hash of the
-key: ``MOST_TOXIC`` and ``MOST_CLEAN`` texts, ``MOST_CHARS`` code points together. Their
+key: ``MOST_TOXIC`` and ``MOST_CLEAN`` texts, ``MOST_CHARS`` code points together; a text
+that doesn't fit is left out, and later ones still are taken. Their
 features are made by executors; the driver sees those with a ratio beyond ``LEAST_RATIO``
 and fits their weights. Scoring reads every text whole, with a model of one number for
 each bucket, whatever the corpus.
@@ -100,15 +101,15 @@ def _chosen(ratio):
 def sample(docs: DataFrame, labels: DataFrame, key: str, text: str, label: str) -> DataFrame:
     """The bounded sample (toxic, text) of labelled documents."""
     said = labels.where(F.col(label).isNotNull() & F.col(key).isNotNull()).groupBy(key).agg(F.max(label).cast("int").alias("toxic"))
-    known = docs.select(F.col(key), F.length(text).alias("n")).where("n > 0").join(said, key)
+    known = docs.select(F.col(key), F.length(text).alias("n")).where(F.col("n").between(1, MOST_CHARS)).join(said, key)
     narrow = known.select(key, "n", "toxic", F.xxhash64(key).alias("h"))
     order = [F.col("h"), F.col(key)]
     rows = [r for toxic, most in ((1, MOST_TOXIC), (0, MOST_CLEAN)) for r in narrow.where(F.col("toxic") == toxic).orderBy(*order).limit(most).collect()]
     taken, chars = [], 0
     for r in sorted(rows, key=lambda r: (r["h"], r[key])):
+        if chars + r["n"] > MOST_CHARS:
+            continue
         chars += r["n"]
-        if chars > MOST_CHARS:
-            break
         taken.append((r[key], r["toxic"], r["h"]))
     # MOST_TOXIC + MOST_CLEAN keys at most.
     chosen = docs.sparkSession.createDataFrame(taken, f"{key} {docs.schema[key].dataType.simpleString()}, toxic int, h long")

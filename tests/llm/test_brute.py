@@ -285,6 +285,14 @@ def test_op5_rare_expressions_have_weight(spark):
     assert (weights[buckets] > 0).all()
 
 
+def test_op5_overlong_texts_are_left_out(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "MOST_CHARS", 400)
+    made = [(i, f"text {i % 2}" + " long" * (0 if i % 5 else 100), i % 2) for i in range(30)]
+    df = spark.createDataFrame(made, "doc_id long, text string, toxic int")
+    got = toxicity.sample(df.select("doc_id", "text"), df.select("doc_id", "toxic"), "doc_id", "text", "toxic").collect()
+    assert len(got) == 24 and max(len(r["text"]) for r in got) < 10
+
+
 def test_op6_chats(spark, sf):
     import random
 
