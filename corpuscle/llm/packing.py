@@ -7,14 +7,16 @@ key, so that neighbours on the curve have like contents, and laid end to end; ev
 ``size`` tokens a sequence ends. Documents are cut where a sequence ends, so that only
 the last sequence of all has padding.
 
-The order needs one exchange, of token ids (two bytes each). Within a task of the
-range-sort, places are a running sum; the tasks' totals, one row for each task, then
-give each task its start. No task but those of the range-sort ever holds an order, and
-no key can fill one: equal keys are ordered by document and row.
+The range-sort moves a row of some forty bytes for each document: its key, its size and
+the number of its row among the saved token ids. Within a task, places are a running
+sum; the tasks' totals, one row for each task, then give each task its start. Places and
+token ids (two bytes each) meet in a join on the row's number, by hash, so that long
+documents, whose keys lie close together, are spread over all tasks. No key can fill a
+task: equal keys are ordered by document and row.
 
-A worker remembers the ids of words it has met, up to a bound, because token ids depend
-on nothing outside a word: the vocabulary's pattern never crosses white space, which is
-dropped.
+Where a vocabulary's file says that it lower-cases words and drops white space (see
+``by_words``), no token depends on anything outside a word, and a worker remembers the
+ids of words it has met, up to a bound. With any other file whole texts are encoded.
 
 Defined cases: a null text is empty; an empty one has only the end token; equal rows and
 rows of one key are documents of their own, told apart by ``row``; an empty table gives
@@ -24,6 +26,7 @@ an empty result. A null key is kept and sorts first.
 from __future__ import annotations
 
 import functools
+import json
 import os
 import zlib
 from collections.abc import Iterator, Sequence
@@ -35,11 +38,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import scratch
-from .shingles import U, Words, mix, portions
+from .shingles import U, Words, bounded_batches, mix, portions
 
 DIMS, BITS, BUCKETS = 3, 10, 4096
 #: Words that a worker remembers before it starts anew, at about 30 bytes each.
-REMEMBERED = 2_000_000
+REMEMBERED = 1_000_000
+#: Documents that a task of the range-sort orders, about, where there are more than the session's tasks.
+SORTED = 1_000_000
 _held: dict[str, Ids] = {}
 
 
@@ -55,6 +60,16 @@ def vocabulary_size(path: str) -> int:
     return Tokenizer.from_file(path).get_vocab_size()
 
 
+def by_words(tokenizer) -> bool:
+    """Whether lower-cased words between white space can be encoded apart, each piece of them ending in ``</w>``."""
+    told = json.loads(tokenizer.to_str())
+    steps = (told["normalizer"] or {}).get("normalizers") or []
+    cuts = (told["pre_tokenizer"] or {}).get("pretokenizers") or [{}]
+    space = [s for s in steps if s["type"] == "Replace" and s["pattern"] == {"Regex": r"\s+"} and s["content"] == " "]
+    kept = cuts[0].get("type") == "Split" and cuts[0]["behavior"] == "Removed" and cuts[0]["invert"] and " " not in cuts[0]["pattern"].get("Regex", " ")
+    return [s["type"] for s in steps] == ["NFC", "Replace", "Lowercase"] and bool(space) and kept and told["model"].get("end_of_word_suffix") == "</w>"
+
+
 class Ids:
     """Token ids of texts: each text's as one array, from words met before where that can be."""
 
@@ -65,6 +80,7 @@ class Ids:
         self.tokenizer = Tokenizer.from_file(path)
         self.type = id_type(self.tokenizer.get_vocab_size())
         names = self.tokenizer.get_vocab()
+        self.by_words = by_words(self.tokenizer)
         self.closes = np.zeros(max(names.values(), default=0) + 1, bool)
         self.closes[[i for name, i in names.items() if name.endswith("</w>")]] = True
         self._forget()
@@ -125,6 +141,8 @@ class Ids:
 
     def __call__(self, texts: Sequence[bytes]) -> list[np.ndarray]:
         """The ids of each text; together the texts should have some megabytes at most."""
+        if not self.by_words:
+            return [np.array(e.ids, self.type) for e in self.tokenizer.encode_batch_fast([t.decode("utf-8", "replace") for t in texts], add_special_tokens=False)]
         if len(self.known) > REMEMBERED:
             self._forget()
         # Lower case is a step of the vocabulary itself; texts that hold names of special tokens, or I before a dot
@@ -205,37 +223,32 @@ def hilbert(cells: np.ndarray, bits: int) -> np.ndarray:
 
 def _tokenise(path: str, end: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids = Ids.of(path)
+        ids, row = Ids.of(path), TaskContext.get().partitionId() << 40
         table = projection(ids.tokenizer.get_vocab_size())
-        last = np.array([end], ids.type).tobytes()
+        last = np.array([end], ids.type)
         for whole in batches:
-            texts = [t or b"" for t in whole.column(1).cast(pa.binary()).to_pylist()]
-            for low, high in portions(texts):
-                tokens = [t.tobytes() + last for t in ids(texts[low:high])]
-                keys = []
-                for t in tokens:
-                    mean = np.zeros(DIMS, np.float64)
-                    own = np.frombuffer(t, ids.type)
-                    for a in range(0, len(own), 1 << 16):
-                        mean += table[own[a : a + (1 << 16)]].sum(axis=0, dtype=np.float64)
-                    keys.append(mean / len(own))
+            texts = whole.column(1).cast(pa.binary()).to_pylist()
+            for low, high in portions(texts, 1 << 20):
+                tokens = [np.append(t, last) for t in ids([t or b"" for t in texts[low:high]])]
+                means = np.array([sum((table[t[a : a + (1 << 16)]].sum(axis=0, dtype=np.float64) for a in range(0, len(t), 1 << 16)), np.zeros(DIMS)) / len(t) for t in tokens])
                 # Means lie close to the origin; the spread is stretched over the cells.
-                cells = np.clip((np.tanh(np.array(keys) * 2.0) + 1) / 2 * (1 << BITS), 0, (1 << BITS) - 1).astype(np.int64)
-                yield pa.RecordBatch.from_arrays([whole.column(0).slice(low, high - low), pa.array(hilbert(cells, BITS)), pa.array([zlib.crc32(t) for t in tokens], pa.int64()), pa.array(tokens, pa.binary())], names=["id", "curve", "crc", "tokens"])
+                cells = np.clip((np.tanh(means * 2.0) + 1) / 2 * (1 << BITS), 0, (1 << BITS) - 1).astype(np.int64)
+                rows = pa.array(row + np.arange(high - low, dtype=np.int64))
+                yield pa.RecordBatch.from_arrays(
+                    [whole.column(0).slice(low, high - low), rows, pa.array(hilbert(cells, BITS)), pa.array([zlib.crc32(t) for t in tokens], pa.int64()), pa.array([len(t) for t in tokens], pa.int64()), pa.array([t.tobytes() for t in tokens], pa.binary())],
+                    names=["id", "row", "curve", "crc", "n", "tokens"],
+                )
+                row += high - low
 
     return run
 
 
-def _place(width: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        task, at, row = TaskContext.get().partitionId(), 0, 0
-        for batch in batches:
-            n = np.array([len(t) // width for t in batch.column("tokens").to_pylist()], np.int64)
-            ends = at + np.cumsum(n)
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(np.full(len(n), task, np.int32)), pa.array(row + np.arange(len(n), dtype=np.int64)), pa.array(ends - n), pa.array(n), batch.column("tokens")], names=["id", "task", "row", "at", "n", "tokens"])
-            at, row = int(ends[-1]) if len(n) else at, row + len(n)
-
-    return run
+def _place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    task, at = TaskContext.get().partitionId(), 0
+    for batch in batches:
+        ends = at + np.cumsum(batch.column("n").to_numpy())
+        yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(np.full(len(ends), task, np.int32)), pa.array(ends - batch.column("n").to_numpy()), batch.column("n")], names=["row", "task", "at", "n"])
+        at = int(ends[-1]) if len(ends) else at
 
 
 def _pieces(size: int, type_: np.dtype):
@@ -243,44 +256,45 @@ def _pieces(size: int, type_: np.dtype):
         for batch in batches:
             which, start, length, crc, seq, offset = [], [], [], [], [], []
             places = batch.column("place").to_numpy()
-            for i, t in enumerate(batch.column("tokens").to_pylist()):
-                own, place, at = np.frombuffer(t, type_).astype("<u4"), int(places[i]), 0
+            for i, t in enumerate(batch.column("tokens")):
+                own, place, at = np.frombuffer(t.as_buffer(), type_).astype("<u4"), int(places[i]), 0
                 while at < len(own):
                     n = min(size - (place + at) % size, len(own) - at)
                     which.append(i)
                     start.append(at)
                     length.append(n)
-                    crc.append(zlib.crc32(own[at : at + n].tobytes()))
+                    crc.append(zlib.crc32(own[at : at + n]))
                     seq.append((place + at) // size)
                     offset.append((place + at) % size)
                     at += n
             take = pa.array(which, pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column("id").take(take), *[pa.array(x, pa.int64()) for x in (start, length, crc)], batch.column("n").take(take), pa.array(seq, pa.int64()), pa.array(offset, pa.int64()), batch.column("task").take(take), batch.column("row").take(take)], names=["id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "task", "row"])
+            yield pa.RecordBatch.from_arrays([batch.column("id").take(take), *[pa.array(x, pa.int64()) for x in (start, length, crc)], batch.column("n").take(take), pa.array(seq, pa.int64()), pa.array(offset, pa.int64()), batch.column("row").take(take)], names=["id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "row"])
 
     return run
 
 
 def pack(docs: DataFrame, vocabulary: str, key: str = "doc_id", text: str = "text", size: int = 4096, end: int = 2) -> DataFrame:
-    """One row per piece: key, start, length, ids_crc32, doc_tokens, sequence_id, offset, task and row (which tell equal keys apart).
+    """One row per piece: key, start, length, ids_crc32, doc_tokens, sequence_id, offset, and row (which tells equal keys apart).
 
     ``vocabulary`` is the path of a tokenizers file that executors can open.
     """
     spark = docs.sparkSession
+    bounded_batches(spark)
     kind = id_type(vocabulary_size(vocabulary))
     body = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
-    # Saved, because the range-sort reads its input twice: once for the bounds of its ranges.
-    keyed = scratch.save(body.mapInArrow(_tokenise(vocabulary, end), "id long, curve long, crc long, tokens binary"), "tokens")
-    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
-    order = ["curve", "id", "crc"]
-    along = keyed.repartitionByRange(tasks, *order).sortWithinPartitions(*order)
-    laid = scratch.save(along.mapInArrow(_place(kind.itemsize), "id long, task int, row long, at long, n long, tokens binary"), "laid")
+    # Saved, because the range-sort reads its input twice, and the join once more.
+    keyed = scratch.save(body.mapInArrow(_tokenise(vocabulary, end), "id long, row long, curve long, crc long, n long, tokens binary"), "tokens")
+    order = ["curve", "id", "crc", "row"]
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-keyed.count() // SORTED))
+    along = keyed.select(*order, "n").repartitionByRange(tasks, *order).sortWithinPartitions(*order)
+    laid = scratch.save(along.select("row", "n").mapInArrow(_place, "row long, task int, at long, n long"), "laid")
     # One row for each task of the range-sort.
-    totals = {r["task"]: r["z"] for r in laid.groupBy("task").agg(F.sum("n").alias("z")).collect()}
     starts, at = [], 0
-    for t in sorted(totals):
-        starts.append((t, at))
-        at += totals[t]
+    for r in sorted(laid.groupBy("task").agg(F.sum("n").alias("z")).collect()):
+        starts.append((r["task"], at))
+        at += r["z"]
     base = spark.createDataFrame(starts, "task int, base long")
-    placed = laid.join(F.broadcast(base), "task").select("id", "task", "row", (F.col("at") + F.col("base")).alias("place"), "n", "tokens")
-    pieces = placed.mapInArrow(_pieces(size, kind), "id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, task int, row long")
+    places = laid.join(F.broadcast(base), "task").select("row", (F.col("at") + F.col("base")).alias("place"))
+    placed = keyed.select("id", "row", "n", "tokens").join(places.hint("merge"), "row").select("id", "row", "place", "n", "tokens")
+    pieces = placed.mapInArrow(_pieces(size, kind), "id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, row long")
     return pieces.withColumnRenamed("id", key)

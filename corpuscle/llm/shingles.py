@@ -3,20 +3,25 @@
 The words of many texts are cut and hashed at once with numpy, straight from UTF-8
 bytes: a prefix sum of bytes times powers of an odd base gives the hash of any span
 as one difference, and the same over word hashes gives the hash of any window of
-words. Work is done in portions of about ``PORTION`` bytes, so memory stays bounded
-by the longest text, whatever the batch.
+words. Texts are taken in portions of about ``PORTION`` bytes, and a text that is
+longer is hashed by blocks of as many; beside the text itself a worker then holds a
+few numbers for each of its words, whatever the batch.
 
 Words are ``[^\\x20\\x09-\\x0D]+``; with ``lower``, A-Z are lower-cased first.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator, Sequence
 
 import numpy as np
+from pyspark.sql import SparkSession
 
 U = np.uint64
-PORTION = 1 << 21
+PORTION = 1 << 18
+#: Bytes of an Arrow batch, whose default of 64 MB is held several times over by the JVM and the worker of every task.
+BATCH = 1 << 22
 _BASE = 0x9E3779B97F4A7C15
 _WORD_BASE = 0xD6E8FEB86659FD93
 _SPACE = np.zeros(256, bool)
@@ -27,6 +32,12 @@ _LOWER[65:91] += 32
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Plans of this session pass rows to Python in batches of ``BATCH`` bytes at most."""
+    if int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch").removesuffix("b")) > BATCH:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH))
+
+
 def powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
     """base**k and base**-k modulo 2**64 for k < n (n or more of them)."""
     have = _powers.get(base)
@@ -51,12 +62,12 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U(31))
 
 
-def portions(texts: Sequence[bytes | None]) -> Iterator[tuple[int, int]]:
-    """Ranges of texts of about PORTION bytes together, of one text at least."""
+def portions(texts: Sequence[bytes | None], most: int = PORTION) -> Iterator[tuple[int, int]]:
+    """Ranges of texts of about ``most`` bytes together, of one text at least."""
     low, size = 0, 0
     for i, t in enumerate(texts):
         n = len(t) if t else 0
-        if size and size + n > PORTION:
+        if size and size + n > most:
             yield low, i
             low, size = i, 0
         size += n + 1
@@ -77,15 +88,30 @@ class Words:
         lengths = np.fromiter((len(t) + 1 if t else 1 for t in texts), np.int64, len(texts))
         self.offset = np.concatenate([[0], np.cumsum(lengths)])
         self.first = np.searchsorted(self.start, self.offset)
-        up, down = powers(_BASE, len(raw))
-        sums = np.zeros(len(raw) + 1, U)
-        np.cumsum((_LOWER if lower else _SAME)[raw] * up[: len(raw)], out=sums[1:])
-        self._sums, self._down = sums, down
+        self._fold = _LOWER if lower else _SAME
         self.hash = self.spans(self.start, self.end)
 
     def spans(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        """The hash of each span of bytes."""
-        return mix((self._sums[end] - self._sums[start]) * self._down[start] + (end - start).astype(U) * U(0xA24BAED4963EE407))
+        """The hash of each span of bytes, which follow each other; it depends on the span's bytes alone."""
+        raw = np.frombuffer(self.data, np.uint8)
+        out = np.empty(len(start), U)
+        at = 0
+        while at < len(start):
+            low = int(start[at])
+            to = int(np.searchsorted(end, low + PORTION, side="right"))
+            if to == at:  # longer than a block
+                folded = self._fold[raw[low : end[at]]].astype(np.uint8).tobytes()
+                out[at] = int.from_bytes(hashlib.blake2b(folded, digest_size=8).digest(), "little")
+                at += 1
+                continue
+            part = raw[low : end[to - 1]]
+            up, down = powers(_BASE, len(part))
+            sums = np.zeros(len(part) + 1, U)
+            np.cumsum(self._fold[part] * up[: len(part)], out=sums[1:])
+            a, b = start[at:to] - low, end[at:to] - low
+            out[at:to] = mix((sums[b] - sums[a]) * down[a] + (b - a).astype(U) * U(0xA24BAED4963EE407))
+            at = to
+        return out
 
     def windows(self, length: int, seed: int = 0) -> np.ndarray:
         """The hash of the window that starts at each word; meaningless where it leaves its text."""
