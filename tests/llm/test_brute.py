@@ -281,7 +281,7 @@ def test_op5_rare_expressions_have_weight(spark):
     made = [(i, f"plain words {i % 7}" + " qzxj" * (i in (3, 5)), int(i < 250)) for i in range(500)]
     df = spark.createDataFrame(made, "doc_id long, text string, toxic int")
     weights, _ = toxicity.train(df.select("doc_id", "text"), df.select("doc_id", "toxic"))
-    [(buckets, _)] = toxicity.counted([b"qzxj"])
+    [(buckets, _)] = toxicity.counted(["qzxj"])
     assert (weights[buckets] > 0).all()
 
 
