@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import scratch
-from .shingles import U, Words, mix, portions, signed
+from .shingles import U, Words, bounded_batches, mix, portions, signed
 
 PLACES, BANDS = 128, 32
 
@@ -204,15 +204,17 @@ def group(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 2,
     of their union in common. ``pivots`` is the size up to which a bucket compares its
     members by pairs, and beyond which in blocks; the result is the same.
     """
+    bounded_batches(docs.sparkSession)
     body = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
     sketched = scratch.save(body.mapInArrow(_sketch(k, BANDS), "id long, n_shingles long, c1 long, c2 long, bands array<long>, sig binary"), "sketch")
     whole = sketched.where("n_shingles > 0 AND id IS NOT NULL")
     same = ["c1", "c2", "n_shingles"]
     classes = whole.groupBy(*same).agg(F.min("id").alias("rep"), F.max("id").alias("_top"))
-    copies = whole.join(classes.where("rep < _top"), same).select("id", "rep").distinct()
+    copies = whole.join(classes.where("rep < _top"), same).select("id", *same, "rep").distinct()
     copies = scratch.save(copies, "copies")
-    # Of each class one row stays: the copies' other rows drop out.
-    reps = whole.join(copies.where("id <> rep").select("id").distinct(), "id", "left_anti").select("id", "n_shingles", "bands", "sig").dropDuplicates(["id", "n_shingles"])
+    # Of each class one row stays. A doc_id may have other texts besides a copy, so rows are told apart by their set too.
+    text_of = ["id", *same]
+    reps = whole.join(copies.where("id <> rep").select(*text_of).distinct(), text_of, "left_anti").dropDuplicates(text_of).select("id", "n_shingles", "bands", "sig")
     links = _links(body, reps, k, percent, pivots)
     edges = links.unionByName(copies.where("id <> rep").select(F.col("id").alias("u"), F.col("rep").alias("v")))
     found = components(edges)
@@ -302,16 +304,17 @@ def _block(k: int, percent: int):
     return run
 
 
-def _in_blocks(s: dict, members: DataFrame, outer: int = 256, inner: int = 1024) -> DataFrame:
+def _in_blocks(s: dict, members: DataFrame, block: int = 1 << 18) -> DataFrame:
     """All links of members outside their bucket's largest group, found in blocks of bounded size.
 
-    A block holds ``outer`` of these and ``inner`` of the bucket's members, about; it counts
-    common shingles exactly and gives links alone, so no pair but a link is ever a row.
+    A block holds about ``block`` shingles of these, and as many of the bucket's members,
+    however long the texts are; it counts common shingles exactly and gives links alone, so
+    no pair but a link is ever a row.
     """
-    sizes = members.groupBy("bucket", "comp").agg(F.count(F.lit(1)).alias("_n"))
+    sizes = members.groupBy("bucket", "comp").agg(F.sum("n").alias("_n"))
     main = sizes.groupBy("bucket").agg(F.max_by("comp", F.struct("_n", "comp")).alias("_main"), F.sum("_n").alias("_all"), F.max("_n").alias("_most"))
     known = members.join(main, "bucket")
-    outs, ins = F.ceil((F.col("_all") - F.col("_most")) / outer).cast("int"), F.ceil(F.col("_all") / inner).cast("int")
+    outs, ins = F.ceil((F.col("_all") - F.col("_most")) / block).cast("int"), F.ceil(F.col("_all") / block).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
     row = ["bucket", "id", "comp"]
     a = known.where("comp <> _main").withColumns({"_o": F.pmod(F.xxhash64("id"), outs).cast("int"), "_i": every(ins)}).select(*row, "_o", "_i", F.lit(True).alias("outer"))

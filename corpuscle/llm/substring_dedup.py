@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import scratch
-from .shingles import U, Words, portions, signed
+from .shingles import U, Words, bounded_batches, portions, signed
 
 SECOND = 0x1234567
 
@@ -201,6 +201,7 @@ def _sequences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def repeated(docs: DataFrame, key: str, text: str, length: int = 50) -> tuple[DataFrame, DataFrame]:
     """(id, gone: hashes of the windows that also start in a smaller doc_id) and (id, mark) of texts that repeat a smaller one."""
+    bounded_batches(docs.sparkSession)
     body = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text")).where("id IS NOT NULL")
     marks = scratch.save(body.mapInArrow(_sequences, "id long, mark binary"), "marks")
     firsts = scratch.save(marks.groupBy("mark").agg(F.min("id").alias("first"), F.max("id").alias("_top")).where("first < _top").select("mark", "first"), "firsts")
