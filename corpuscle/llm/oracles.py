@@ -53,8 +53,11 @@ def op8() -> str:
     rules = quality_rules.RULES
     fails = ", ".join(f"sum(CASE WHEN {e} THEN 1 ELSE 0 END)::DOUBLE AS {r}" for r, e in rules.items())
     moments = ", ".join(f"avg({r} / n) AS m_{r}, var_pop({r} / n) AS v_{r}" for r in rules)
-    weight = "CASE WHEN v_{r} > 0 THEN least(greatest(m_{r} * (1 - m_{r}) / v_{r} - 1, 1), greatest(an, 1)) ELSE greatest(an, 1) END"
-    bad = " OR ".join(f"({r} + m_{r} * {weight.format(r=r)}) / (n + {weight.format(r=r)}) > 0.6" for r in rules)
+    spread = "(v_{r} - m_{r} * (1 - m_{r}) * inv)"
+    weight = f"CASE WHEN {spread} > 0 THEN least(greatest(m_{{r}} * (1 - m_{{r}}) / {spread} - 1, 1), total) ELSE total END"
+    weights = ", ".join(f"{weight.format(r=r)} AS w_{r}" for r in rules)
+    rates = ", ".join(f"({r} + m_{r} * w_{r}) / (n + w_{r}) AS p_{r}" for r in rules)
+    bad = " OR ".join(f"p_{r} - {quality_rules.DEVIATIONS} * sqrt(p_{r} * (1 - p_{r}) / (n + w_{r} + 1)) > least(greatest({quality_rules.TIMES} * m_{r}, {quality_rules.FLOOR}), {quality_rules.MOST})" for r in rules)
     base = " OR ".join(f"({rules[r]})" for r in quality_rules.BASE)
     return rf"""WITH w AS (SELECT doc_id, source, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '{W}') AS w FROM documents),
 g AS (SELECT doc_id, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM w WHERE len(w) > 2)),
@@ -62,7 +65,7 @@ d AS (SELECT doc_id, i FROM g JOIN (SELECT doc_id, g FROM g GROUP BY ALL HAVING
 rep AS (SELECT doc_id, count(DISTINCT j) AS n_repeat_words FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS j FROM d) GROUP BY doc_id),
 l AS (SELECT doc_id, len(x) - len(list_distinct(x)) AS n_dup_lines FROM (SELECT doc_id, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '{W}')) AS x FROM w)),
 m AS (SELECT w.doc_id, source, len(w)::BIGINT AS n_words, length(regexp_replace(text, '[\x20\x09-\x0D]+', '', 'g')) AS word_chars, length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS n_symbols, n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words FROM w LEFT JOIN rep USING (doc_id) JOIN l USING (doc_id)),
-h AS (SELECT source, count(*)::DOUBLE AS n, {fails} FROM m GROUP BY source), a AS (SELECT avg(n) AS an, {moments} FROM h), v AS (SELECT source, NOT ({bad}) AS host_kept FROM h, a)
+h AS (SELECT source, count(*)::DOUBLE AS n, {fails} FROM m GROUP BY source), a AS (SELECT sum(n) AS total, avg(1 / n) AS inv, {moments} FROM h), x AS (SELECT h.*, a.*, {weights} FROM h, a), y AS (SELECT *, {rates} FROM x), v AS (SELECT source, NOT ({bad}) AS host_kept FROM y)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, ({base}) AS base_failed, NOT ({base}) AND host_kept AS kept FROM m JOIN v ON m.source IS NOT DISTINCT FROM v.source"""
 
 

@@ -6,6 +6,11 @@ all hosts with an empirical beta prior (method of moments), and the hosts'
 verdicts are joined back to their documents. A host with three documents of which
 two fail is thus not judged like one with three thousand of which two thousand fail.
 
+The prior's spread is that of the hosts' rates beyond what chance alone gives them, so
+hosts that differ by chance are all drawn to the mean, and none goes. A host goes where
+one of its rates is, two posterior standard deviations to spare, above both ``TIMES`` the
+mean rate of all hosts and ``FLOOR``, or above ``MOST``.
+
 Only built-in column functions run here: words and lines become arrays within
 their row, so no text and no word is ever shuffled; the only exchange is of
 partial counts by host.
@@ -80,41 +85,41 @@ RULES: dict[str, str] = {
     "word_length": "word_chars < 2 * n_words OR word_chars > 15 * n_words",
 }
 BASE = ("too_few_words", "repetitive")
+#: A host's rate is too high above this many times the mean (where that is above FLOOR), and above MOST in any case.
+TIMES, FLOOR, MOST, DEVIATIONS = 2.0, 0.1, 0.6, 2.0
 
 
-def host_verdicts(measured: DataFrame, host: str, rules: dict[str, str], most: float) -> DataFrame:
-    """One row per host: n, shrunk rate by rule, and host_kept.
+def host_verdicts(measured: DataFrame, host: str, rules: dict[str, str], times: float = TIMES, floor: float = FLOOR, most: float = MOST) -> DataFrame:
+    """One row per host: n, by rule the posterior mean rate_ and its lower bound low_, and host_kept.
 
-    The prior of a rule is the beta distribution whose mean and variance are those
-    of the hosts' raw rates; where they barely differ it becomes as heavy as the
-    mean host's sample, so that small hosts are pulled to the mean. A host is
-    dropped where a shrunk rate is above ``most``.
+    The prior of a rule is the beta distribution whose mean is that of the hosts' raw
+    rates, and whose variance is theirs less what samples of the hosts' sizes have by
+    chance; where nothing is left, it weighs as much as all documents together.
     """
     failed = {r: F.sum(F.expr(f"CASE WHEN {e} THEN 1 ELSE 0 END")).alias(r) for r, e in rules.items()}
     hosts = measured.groupBy(F.col(host).alias("_host")).agg(F.count(F.lit(1)).alias("n"), *failed.values())
-    moments = hosts.agg(F.avg("n").alias("_n"), *[f(F.col(r) / F.col("n")).alias(f"_{k}_{r}") for r in rules for k, f in (("m", F.avg), ("v", F.var_pop))])
-    shrunk = []
+    moments = hosts.agg(F.sum("n").alias("_all"), F.avg(1 / F.col("n")).alias("_inv"), *[f(F.col(r) / F.col("n")).alias(f"_{k}_{r}") for r in rules for k, f in (("m", F.avg), ("v", F.var_pop))])
+    rates, lows, bad = [], [], F.lit(False)
     for r in rules:
-        m, v = F.col(f"_m_{r}"), F.col(f"_v_{r}")
-        weight = F.when(v > 0, F.least(F.greatest(m * (1 - m) / v - 1, F.lit(1.0)), F.greatest(F.col("_n"), F.lit(1.0)))).otherwise(F.greatest(F.col("_n"), F.lit(1.0)))
-        shrunk.append(((F.col(r) + m * weight) / (F.col("n") + weight)).alias(f"rate_{r}"))
+        m = F.col(f"_m_{r}")
+        spread = F.col(f"_v_{r}") - m * (1 - m) * F.col("_inv")
+        weight = F.when(spread > 0, F.least(F.greatest(m * (1 - m) / spread - 1, F.lit(1.0)), F.col("_all"))).otherwise(F.col("_all"))
+        rates.append(((F.col(r) + m * weight) / (F.col("n") + weight)).alias(f"rate_{r}"))
+        lows.append((F.col(f"rate_{r}") - DEVIATIONS * F.sqrt(F.col(f"rate_{r}") * (1 - F.col(f"rate_{r}")) / (F.col("n") + weight + 1))).alias(f"low_{r}"))
+        bad = bad | (F.col(f"low_{r}") > F.least(F.greatest(times * m, F.lit(floor)), F.lit(most)))
     # One row of moments: a broadcast of a single row, whatever the corpus.
-    joined = hosts.join(F.broadcast(moments), how="cross").select("_host", "n", *shrunk)
-    bad = F.lit(False)
-    for r in rules:
-        bad = bad | (F.col(f"rate_{r}") > most)
-    return joined.withColumn("host_kept", ~bad)
+    joined = hosts.join(F.broadcast(moments), how="cross").select("*", *rates).select("*", *lows)
+    return joined.select("_host", "n", *[f"{k}_{r}" for r in rules for k in ("rate", "low")], (~bad).alias("host_kept"))
 
 
-def judge(docs: DataFrame, key: str = "doc_id", text: str = "text", host: str = "source", rules: dict[str, str] | None = None, base: Sequence[str] = BASE, most: float = 0.6) -> DataFrame:
+def judge(docs: DataFrame, key: str = "doc_id", text: str = "text", host: str = "source", rules: dict[str, str] | None = None, base: Sequence[str] = BASE, times: float = TIMES, floor: float = FLOOR, most: float = MOST) -> DataFrame:
     """One row per document: key, host, the measures, base_failed, host_kept and kept.
 
-    A document is kept if it breaks no base rule and its host's shrunk failure rates
-    are all at most ``most``.
+    A document is kept if it breaks no base rule and its host is kept.
     """
     rules = RULES if rules is None else rules
     measured = scratch.save(measure(docs.select(F.col(key), F.col(host), F.col(text)), [key, host], text), "quality")
-    verdicts = host_verdicts(measured, host, rules, most).select("_host", *[f"rate_{r}" for r in rules], "host_kept")
+    verdicts = host_verdicts(measured, host, rules, times, floor, most).select("_host", *[f"rate_{r}" for r in rules], "host_kept")
     failed = F.expr(" OR ".join(f"({rules[r]})" for r in base))
     out = measured.join(verdicts, measured[host].eqNullSafe(verdicts["_host"]), "left").drop("_host")
     return out.withColumn("base_failed", failed).withColumn("kept", ~F.col("base_failed") & F.col("host_kept"))
