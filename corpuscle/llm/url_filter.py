@@ -8,12 +8,13 @@ only these run their expression; the longest that fits decides.
 
 The index grows with the rules, not with the URLs. Up to ``most_rules`` rules it is a
 literal map within the plan, so that URLs are judged where they are read, without an
-exchange; beyond that, distinct URLs meet the index in a join.
+exchange; beyond that, distinct URLs meet the index in a join, which is broadcast up to
+``MOST_BROADCAST`` entries. Rules without a token are literals in either case.
 
 Defined cases: a null URL, or one without ``://``, has an empty host and path and is
 judged by the rules without tokens alone; ties of length go to the rule that blocks,
-then to the smaller name; repeated rows each get a row; an empty table gives an empty
-result; no rule at all allows everything.
+then to the greater name; repeated rows each get a row; an empty table gives an empty
+result; no rule at all allows everything; ``keep`` must not name a column of the result.
 """
 
 from __future__ import annotations
@@ -27,6 +28,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 TOKEN = "[a-z0-9]+"
+MOST_BROADCAST = 200_000
+RESULT = ("host", "path", "rule", "verdict", "matched")
 
 
 @dataclass(frozen=True)
@@ -64,6 +67,13 @@ def word_rule(*words: str, verdict: str = "block") -> Rule:
     return Rule("-".join(words), verdict, r"(?i)^[^/]*\b" + r"[-_.]?".join(words) + r"\b", spelt[0], 0, named=False, joined=tuple(spelt[1:]))
 
 
+def read_rules(table: DataFrame) -> list[Rule]:
+    """Rules from a table (verdict, kind, value): kind ``site`` with values like ``net/``, or ``words`` with words by spaces. Rows with a null are left out."""
+    made = {"site": lambda v, x: site_rule(v, x), "words": lambda v, x: word_rule(*x.split(), verdict=v)}
+    rows = table.select("verdict", "kind", "value").dropna().distinct().orderBy("kind", "value", "verdict").collect()
+    return [made[r["kind"]](r["verdict"], r["value"]) for r in rows]
+
+
 #: The method's own verdicts, below any site rule.
 WORD_RULES = (word_rule("casino"), word_rule("free", "bets"), word_rule("cheap", "pills"), word_rule("spam", "farm"), word_rule("adult", "cams"), word_rule("viagra"), word_rule("warez"))
 
@@ -104,6 +114,8 @@ def _literal(r: Rule) -> Column:
 
 def judge(pages: DataFrame, rules: Sequence[Rule], url: str = "url", keep: Sequence[str] = ("page_id",), most_rules: int = 2_000) -> DataFrame:
     """``keep`` plus host, path, rule (of the deciding site rule, else null), verdict and matched (any deciding rule)."""
+    if clash := set(keep) & set(RESULT):
+        raise ValueError(f"columns of the result cannot be kept: {sorted(clash)}")
     index = index_rules(pages, rules, url)
     parts = pages.select(*keep, F.col(url).alias("_url"), host_of(F.col(url)).alias("host"), path_of(F.col(url)).alias("path"))
     best = _by_map(parts, index) if len(rules) <= most_rules else _by_join(parts, index)
@@ -116,9 +128,9 @@ def _fits(parts_host: Column, path: Column, pattern: Column) -> Column:
     return F.rlike(F.concat(parts_host, path), pattern)
 
 
-def _order(r: Column) -> Column:
-    """Sorts last what decides: longest, blocking, smaller name (by negated rank in the index)."""
-    return F.struct(r["weight"], r["blocks"], r["name"], r["pattern"], r["named"])
+def _order(r) -> Column:
+    """Sorts last what decides: longest, then blocking."""
+    return F.struct(*[r[c].alias(c) for c in ("weight", "blocks", "name", "pattern", "named")])
 
 
 def _by_map(parts: DataFrame, index: dict[str, list[Rule]]) -> DataFrame:
@@ -140,10 +152,15 @@ def _by_map(parts: DataFrame, index: dict[str, list[Rule]]) -> DataFrame:
 
 def _by_join(parts: DataFrame, index: dict[str, list[Rule]]) -> DataFrame:
     spark = parts.sparkSession
-    rows = [(t, r.weight, r.verdict == "block", r.name, r.pattern, r.named) for t, rules in index.items() for r in rules]
+    rows = [(t, r.weight, r.verdict == "block", r.name, r.pattern, r.named) for t, rules in index.items() if t for r in rules]
     filed = spark.createDataFrame(rows, "_token string, weight int, blocks boolean, name string, pattern string, named boolean")
     distinct = parts.select("host", "path").distinct()
-    looked = distinct.select("*", F.explode(F.concat(tokens_of(F.col("host"), F.col("path")), F.array(F.lit("")))).alias("_token"))
-    fitting = looked.join(filed, "_token").where(_fits(F.col("host"), F.col("path"), F.col("pattern")))
-    best = fitting.groupBy("host", "path").agg(F.max(F.struct("weight", "blocks", "name", "pattern", "named")).alias("_best"))
-    return parts.join(best, ["host", "path"], "left")
+    looked = distinct.select("*", F.explode(tokens_of(F.col("host"), F.col("path"))).alias("_token"))
+    met = looked.join(F.broadcast(filed) if len(rows) <= MOST_BROADCAST else filed, "_token")
+    fitting = met.where(_fits(F.col("host"), F.col("path"), F.col("pattern")))
+    best = fitting.groupBy("host", "path").agg(F.max(_order({c: F.col(c) for c in ("weight", "blocks", "name", "pattern", "named")})).alias("_filed"))
+    out = parts.join(best, ["host", "path"], "left")
+    always = F.array(*map(_literal, index.get("", []))) if index.get("") else F.array().cast(f"array<{_RULE}>")
+    free = F.array_max(F.transform(F.filter(always, lambda r: _fits(F.col("host"), F.col("path"), r["pattern"])), _order))
+    # The greater of both decides; a null is never it.
+    return out.select("*", F.array_max(F.array("_filed", free)).alias("_best")).drop("_filed")
