@@ -180,14 +180,15 @@ def apply(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str
     """
     mixed = mix(docs, key, text, source, **how).groupBy(key, source, "text_hash", "size").agg(F.floor(F.sum("taken") / F.count(F.lit(1))).alias("_taken"))
     mixed = mixed.where("_taken > 0").select(F.struct(key, source, "text_hash").alias("_id"), F.col("size").alias("_size"), "_taken")
-    named = docs.withColumn("_id", F.struct(F.col(key), F.col(source), F.xxhash64(text).alias("text_hash")))
-    joined = named.join(mixed, "_id")
-    whole = F.floor(F.col("_taken") / F.col("_size")).cast("int")
-    takes = F.concat(F.array_repeat(F.col("_size"), whole), F.filter(F.array(F.col("_taken") % F.col("_size")), lambda n: n > 0))
-    rows = joined.withColumn("_n", F.explode(takes))
-    words = F.array_remove(F.split(F.col(text), r"[\x20\x09-\x0D]+"), "")
-    cut = F.when(F.col("_n") < F.col("_size"), F.array_join(F.slice(words, 1, F.col("_n").cast("int")), " ")).otherwise(F.col(text))
-    rows = rows.withColumn(text, cut)
+    whole = docs.select(F.struct(F.col(key), F.col(source), F.xxhash64(text).alias("text_hash")).alias("_id"), F.struct(*docs.columns).alias("_doc"))
+    old = F.col("_doc")[text]
+    times = F.floor(F.col("_taken") / F.col("_size")).cast("int")
+    takes = F.concat(F.array_repeat(F.col("_size"), times), F.filter(F.array(F.col("_taken") % F.col("_size")), lambda n: n > 0))
+    rows = whole.join(mixed, "_id").select("_doc", "_size", F.explode(takes).alias("_n"))
+    words = F.array_remove(F.split(old, r"[\x20\x09-\x0D]+"), "")
+    cut = F.when(F.col("_n") < F.col("_size"), F.array_join(F.slice(words, 1, F.col("_n").cast("int")), " ")).otherwise(old)
+    made = rows.select("_doc", cut.alias("_text"))
+    new = {text: F.col("_text")}
     if chars:
-        rows = rows.withColumn(chars, F.length(text).cast(docs.schema[chars].dataType))
-    return rows.select(*docs.columns)
+        new[chars] = F.length("_text").cast(docs.schema[chars].dataType)
+    return made.select(*[new.get(c, F.col("_doc")[c]).alias(c) for c in docs.columns])
