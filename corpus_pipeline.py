@@ -4,7 +4,8 @@ Toxic documents go, one document of each near-duplicate group stays, passages th
 smaller doc_id has are cut out, sources are mixed to their target weights, and what is
 left is packed into sequences. Each stage takes (spark, docs, sf_dir) and returns a
 DataFrame that is written and read again as the next stage's docs; all but the last
-return the columns of ``documents``.
+return the columns of ``documents``, and further ones that docs has. Each gives an empty
+table for an empty one.
 """
 
 from __future__ import annotations
@@ -33,37 +34,58 @@ def _stage(run: Stage) -> Stage:
 
 @_stage
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier predicts to be toxic go. It never learns held-out labels."""
+    """Documents that the classifier predicts to be toxic go. It never learns held-out labels.
+
+    A null or empty text has the bias's score alone; each row of a repeated doc_id is judged
+    by its own text; without labels of both kinds every document stays.
+    """
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where(~toxicity.held_out(F.col("doc_id")))
     model = toxicity.train(docs, labels)
-    others = tuple(c for c in docs.columns if c != "doc_id")
-    return toxicity.score(docs, model, keep=others).where("predicted = 0").select(*docs.columns)
+    whole = docs.select("doc_id", "text", F.struct(*docs.columns).alias("whole"))
+    return toxicity.score(whole, model, keep=("whole",)).where("predicted = 0").select("whole.*")
 
 
 @_stage
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group linked by five-word shingles at a similarity of 0.8, the smallest doc_id stays."""
+    """Of each group linked by five-word shingles at a similarity of 0.8, the smallest doc_id stays.
+
+    All rows of that doc_id stay, even equal ones; null and blank texts and a null doc_id
+    are in no group and stay.
+    """
     gone = minhash_dedup.group(docs, k=5, percent=80).where("NOT kept").select("doc_id").distinct()
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
 
 
 @_stage
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Words of 50-word windows that a smaller doc_id has go; documents of which nothing is left go too."""
-    others = tuple(c for c in docs.columns if c not in ("doc_id", "text", "n_chars"))
-    cut = substring_dedup.dedup(docs, give_text=True, keep=others).where("n_removed = 0 OR n_removed < n_words")
-    return cut.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    """Words of 50-word windows that a smaller doc_id has go; documents of which nothing is left go too.
+
+    A text that loses nothing stays as it is, null and blank ones too; a null doc_id neither
+    loses words nor takes any from others; rows of one doc_id take none from each other.
+    """
+    rest = [c for c in docs.columns if c not in ("doc_id", "text", "n_chars")]
+    named = docs.select("doc_id", "text", F.struct("n_chars", *rest).alias("rest"))
+    cut = substring_dedup.dedup(named, give_text=True, keep=("rest",)).where("n_removed = 0 OR n_removed < n_words")
+    old = {"doc_id": F.col("doc_id"), "text": F.col("text"), "n_chars": F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("rest.n_chars"))}
+    return cut.select(*[old.get(c, F.col("rest")[c]).alias(c) for c in docs.columns])
 
 
 @_stage
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often, and of the last pass as far, as the mix of sources takes them."""
+    """Documents as often, and of the last pass as far, as the mix of sources takes them.
+
+    Null and blank texts have nothing to take and go; a null source is a source of its own;
+    equal rows share what they take.
+    """
     return mixing.apply(docs)
 
 
 @_stage
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of documents in sequences of 4096 tokens, neighbours on the Hilbert curve together."""
+    """Pieces of documents in sequences of 4096 tokens, neighbours on the Hilbert curve together.
+
+    Every row is a document of its own, told apart by ``row``; a null text has the end token alone.
+    """
     return packing.pack(docs, vocabulary())
 
 
@@ -75,7 +97,7 @@ STAGES: list[tuple[str, Stage]] = [
     ("packing", pack_sequences),
 ]
 
-#: No SQL: a trained classifier and a tokenizer decide. Tests hold the stages against brute force.
+#: No SQL: a trained classifier and a tokenizer decide. tests/llm/test_pipeline.py holds each stage against a restatement.
 ORACLE_SQL = None
 
 
