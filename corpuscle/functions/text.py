@@ -184,12 +184,15 @@ def hashtags(text: Column) -> Column:
 
 def clean_markdown(text: Column) -> Column:
     """Embeds become ``[image: x]``, links their shown text; comments and runs of blank lines go."""
-    out = F.regexp_replace(text, r"!\[\[([^\]]*)\]\]", r"[image: $1]")
-    out = F.regexp_replace(out, r"!\[([^\]]*)\]\([^)]*\)", r"[image: $1]")
-    out = F.regexp_replace(out, r"\[\[[^\]|]+\|([^\]]+)\]\]", "$1")
-    out = F.regexp_replace(out, r"\[\[([^\]]+)\]\]", "$1")
-    out = F.regexp_replace(F.regexp_replace(out, r"\n{3,}", "\n\n"), r"(?s)<!--.*?-->", "")
-    return F.btrim(out, F.lit(" \t\r\n"))
+    steps = (
+        (r"!\[\[([^\]]*)\]\]|!\[([^\]]*)\]\([^)]*\)", "[image: $1$2]"),
+        (r"\[\[(?:[^\]|]+\|)?([^\]]+)\]\]", "$1"),
+        (r"\n\n\n+", "\n\n"),
+        (r"(?s)<!--.*?-->", ""),
+    )
+    for pattern, new in steps:
+        text = F.regexp_replace(text, pattern, new)
+    return F.btrim(text, F.lit(" \t\r\n"))
 
 
 #: What marks code and formulas in a text.
@@ -212,14 +215,14 @@ def note_date(filename: Column) -> Column:
     return F.when(F.rlike(filename, F.lit(dmy)), joined(dmy, (3, 2, 1))).when(F.rlike(filename, F.lit(ymd)), joined(ymd, (1, 2, 3)))
 
 
-#: Names of daily notes, and of folders that hold them.
+#: Names of daily notes, and of folders that hold them unless others are given.
 DAILY_NAMES = (r"^\d{2}[-_.]\d{2}[-_.]\d{4}$", r"^\d{4}[-_.]\d{2}[-_.]\d{2}$", r"^\w+\s+\d{1,2},?\s+\d{4}$", r"^\d{1,2}\s+\w+\s+\d{4}$")
-DAILY_FOLDERS = ("daily notes", "daily", "dailies", "journal", "daily_study_notes", "09 - daily_study_notes")
+DAILY_FOLDERS = ("daily notes", "daily", "dailies", "journal")
 
 
-def is_daily_note(path: Column) -> Column:
+def is_daily_note(path: Column, folders: Sequence[str] = DAILY_FOLDERS) -> Column:
     parts = F.split(F.lower(path), r"[/\\]")
-    return F.rlike(stem(path), F.lit("|".join(DAILY_NAMES))) | F.arrays_overlap(parts, F.array(*map(F.lit, DAILY_FOLDERS)))
+    return F.rlike(stem(path), F.lit("|".join(DAILY_NAMES))) | F.arrays_overlap(parts, F.array(*map(F.lit, folders)).cast("array<string>"))
 
 
 def url_slug(url: Column) -> Column:

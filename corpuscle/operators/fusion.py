@@ -45,16 +45,18 @@ def boost(fused: DataFrame, chunks: DataFrame, queries: DataFrame, tag_factor: f
     return before.join(meta, "chunk_id").join(queries, "qid").select("qid", "chunk_id", F.round(raised, digits).alias("score"), F.col("_before").alias("first_seen"))
 
 
-def lexical_score(terms: Column, words: Column) -> Column:
-    """Coverage of the distinct query terms by a text's words, damped by repeats and length. Both are columns of tokens."""
+def lexical_hits(terms: Column, words: Column) -> Column:
+    """A text's words that are query terms, in order of name, so that a term's number is the length of its run."""
+    return F.array_sort(F.filter(words, lambda w: F.array_contains(terms, w)))
 
-    def part(term: Column) -> Column:
-        n = F.size(F.filter(words, lambda w: w == term))
-        weight = F.least(F.length(term), F.lit(8)) / 8.0
-        return F.when(n > 0, weight * (1 + 0.5 * F.least(n - 1, F.lit(3)))).otherwise(0.0)
 
-    total = F.aggregate(F.transform(terms, part), F.lit(0.0), lambda a, x: a + x)
-    return F.when(F.size(words) > 0, total / (1 + F.size(words) / 500.0)).otherwise(0.0)
+def lexical_score(hits: Column, n_words: Column) -> Column:
+    """Coverage of the query terms by a text's words, damped by repeats and length. ``hits`` must be a column that is there already."""
+    # The first of a run weighs by its term, the next three by half of that.
+    same = lambda i, back: F.coalesce(F.get(hits, i - back) == F.get(hits, i), F.lit(False))
+    part = lambda w, i: F.least(F.length(w), F.lit(8)) / 8.0 * F.when(~same(i, 1), 1.0).when(~same(i, 4), 0.5).otherwise(0.0)
+    total = F.aggregate(F.transform(hits, part), F.lit(0.0), lambda a, x: a + x)
+    return F.when(n_words > 0, total / (1 + n_words / 500.0)).otherwise(0.0)
 
 
 def lexical_terms(question: Column) -> Column:
@@ -62,28 +64,31 @@ def lexical_terms(question: Column) -> Column:
     return F.filter(F.array_distinct(T.lexical_tokens(question)), lambda t: F.length(t) > 2)
 
 
-def rerank(docs: DataFrame, mode: str, k: int, scorer: object = None, digits: int = 6) -> DataFrame:
+def rerank(docs: DataFrame, mode: str, k: int, scorer: object = None, instruction: str = "", digits: int = 6) -> DataFrame:
     """The k best (qid, rank before, question, text) by mode; equal scores keep their order.
 
     ``lexical`` scores within the plan, ``none`` keeps the order, ``cross_encoder`` and ``http``
-    take ``scorer``, a pandas UDF of (query, text); a scorer that leaves a document without a
-    score fails the query rather than dropping it.
+    take ``scorer``, a pandas UDF of (query, text), which is given ``instruction`` before the
+    question; a scorer that leaves a document without a score fails the query rather than
+    dropping it.
     """
     if mode == "none":
         return docs.where(F.col("rank") <= k).withColumn("rerank_score", F.lit(None).cast("double"))
     if mode == "lexical":
-        # Tokens are columns of their own: within the score's lambdas they would be cut anew for each term.
+        # Columns of their own: within the score's lambdas they would be made anew for each word.
         docs = docs.withColumns({"_terms": lexical_terms(F.col("question")), "_words": T.lexical_tokens(F.col("text"))})
-        value = F.round(lexical_score(F.col("_terms"), F.col("_words")), digits)
+        docs = docs.withColumns({"_hits": lexical_hits(F.col("_terms"), F.col("_words")), "_n": F.size("_words")})
+        value = F.round(lexical_score(F.col("_hits"), F.col("_n")), digits)
     elif mode in ("cross_encoder", "http"):
         if scorer is None:
             raise ValueError(f"mode {mode!r} needs a scorer")
-        given = scorer(F.col("question"), F.col("text"))
+        asked = F.concat(F.lit(scoring_query("", instruction, mode)), F.col("question"))
+        given = scorer(asked, F.col("text"))
         value = F.when(given.isNull(), F.raise_error(F.lit("the scorer left a document without a score"))).otherwise(given)
     else:
         raise ValueError(f"unknown rerank mode {mode!r}")
     scored = docs.withColumn("rerank_score", value).withColumnRenamed("rank", "_before")
-    return scored.withColumn("rank", order_of(F.col("rerank_score").desc(), F.col("_before"))).where(F.col("rank") <= k).drop("_before", "_terms", "_words")
+    return scored.withColumn("rank", order_of(F.col("rerank_score").desc(), F.col("_before"))).where(F.col("rank") <= k).drop("_before", "_terms", "_words", "_hits", "_n")
 
 
 def scoring_query(question: str, instruction: str, mode: str) -> str:

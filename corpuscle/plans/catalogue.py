@@ -84,8 +84,8 @@ def top_sql(source: str, k: int, lane: str, ord_: int) -> str:
 
 def main_lanes(spark: SparkSession, sf_dir: str, k: int = 20) -> DataFrame:
     c, q = chunks(spark, sf_dir), questions(spark, sf_dir)
-    dense = lanes.top(lanes.dense(vectors(spark, sf_dir), query_vectors(spark, sf_dir)), k, "dense", 0)
-    return dense.unionByName(lanes.top(lanes.bm25(c, q), k, "sparse", 1))
+    dense = lanes.dense_top(vectors(spark, sf_dir), query_vectors(spark, sf_dir), k, "dense", 0)
+    return lanes.together(dense, lanes.top(lanes.bm25(c, q), k, "sparse", 1))
 
 
 LANES = f"{BM25}, {DENSE}, lanes AS ({top_sql('de', 20, 'dense', 0)} UNION ALL {top_sql('bm', 20, 'sparse', 1)})"
@@ -122,15 +122,15 @@ def bm25_topk(spark, sf_dir):
 
 @register(f"WITH {DENSE} SELECT qid, rank0, chunk_id, score FROM {top_sql('de', 20, 'd', 0)}")
 def dense_topk(spark, sf_dir):
-    return lanes.top(lanes.dense(vectors(spark, sf_dir), query_vectors(spark, sf_dir)), 20, "d", 0).select("qid", "rank0", "chunk_id", "score")
+    return lanes.dense_top(vectors(spark, sf_dir), query_vectors(spark, sf_dir), 20, "d", 0).select("qid", "rank0", "chunk_id", "score")
 
 
 @register(f"WITH {CHUNKS}, {DENSE}, f AS (SELECT de.* FROM de JOIN chunks USING (chunk_id) WHERE domain IN ('en','de') AND (contains(lower(source_file), 'src1') OR file_type = 'pdf')) SELECT qid, rank0, chunk_id, score FROM {top_sql('f', 10, 'd', 0)}")
 def dense_filtered_topk(spark, sf_dir):
     meta = chunks(spark, sf_dir).select("chunk_id", "domain", "source_file", "file_type")
     kept = vectors(spark, sf_dir).join(meta, "chunk_id")
-    scored = lanes.dense(kept, query_vectors(spark, sf_dir), lanes.scope_filter(["EN", "de"], ["SRC1"], ["pdf"]))
-    return lanes.top(scored, lanes.narrow(20), "d", 0).select("qid", "rank0", "chunk_id", "score")
+    found = lanes.dense_top(kept, query_vectors(spark, sf_dir), lanes.narrow(20), "d", 0, lanes.scope_filter(["EN", "de"], ["SRC1"], ["pdf"]))
+    return found.select("qid", "rank0", "chunk_id", "score")
 
 
 @register(f"WITH {FUSED} SELECT qid, chunk_id, score, first_seen FROM fused")
@@ -174,7 +174,7 @@ def scope_routing(spark, sf_dir):
 SELECT qid, doc_id AS chunk_id, row_number() OVER (PARTITION BY qid ORDER BY r, doc_id) - 1 AS rank0 FROM o""")
 def hype_join(spark, sf_dir):
     v = vectors(spark, sf_dir)
-    hits = lanes.top(lanes.dense(v, query_vectors(spark, sf_dir)), 15, "h", 0).withColumnRenamed("chunk_id", "question_id")
+    hits = lanes.dense_top(v, query_vectors(spark, sf_dir), 15, "h", 0).withColumnRenamed("chunk_id", "question_id")
     asked = v.select(F.col("chunk_id").alias("question_id"), (F.col("chunk_id") % 97).alias("doc_id"))
     return lanes.question_hits(hits, asked).select("qid", "chunk_id", "rank0")
 
@@ -364,7 +364,7 @@ f AS (SELECT w.qid, nullif(want, '') AS want, min(rank) FILTER (WHERE label::VAR
 SELECT qid, first_hit_rank, CASE WHEN want IS NOT NULL THEN round(coalesce(1.0::DOUBLE / first_hit_rank, 0), 6) END AS reciprocal_rank, CASE WHEN want IS NOT NULL THEN first_hit_rank IS NOT NULL END AS hit FROM f""")
 def eval_hit_mrr(spark, sf_dir):
     v = vectors(spark, sf_dir)
-    ranked = lanes.top(lanes.dense(v, query_vectors(spark, sf_dir)), 20, "d", 0).join(v.select("chunk_id", F.col("label").cast("string").alias("domain")), "chunk_id").select("qid", (F.col("rank0") + 1).alias("rank"), "domain")
+    ranked = lanes.dense_top(v, query_vectors(spark, sf_dir), 20, "d", 0).join(v.select("chunk_id", F.col("label").cast("string").alias("domain")), "chunk_id").select("qid", (F.col("rank0") + 1).alias("rank"), "domain")
     wanted = questions(spark, sf_dir).select("qid", F.when(F.col("qid") % 9 == 0, "").otherwise((F.col("qid") % 4).cast("string")).alias("want"))
     return evaluation.first_hits(ranked, wanted).withColumn("reciprocal_rank", F.round("reciprocal_rank", 6))
 
@@ -418,7 +418,7 @@ def branches(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = main_lanes(spark, sf_dir)
     both = found.where("rank0 < 10").select("qid", F.col("lane").alias("branch"), F.col("lane_ord").alias("branch_ord"), (F.col("rank0") + 1).alias("rank"), "chunk_id")
     fused = fusion.ranked(fusion.fuse(found), 7).select("qid", F.lit("rrf").alias("branch"), F.lit(2).alias("branch_ord"), "rank", "chunk_id")
-    return both.unionByName(fused)
+    return lanes.together(both, fused)
 
 
 BRANCHES = f"{RANKED}, br AS (SELECT qid, lane AS branch, lane_ord AS branch_ord, rank0 + 1 AS rank, chunk_id FROM lanes WHERE rank0 < 10 UNION ALL SELECT qid, 'rrf', 2, rank, chunk_id FROM ranked WHERE rank <= 7)"
@@ -607,6 +607,6 @@ e AS (SELECT item_id AS qid, r.f FROM benchmark LEFT JOIN r ON qid = item_id)
 SELECT count(*) AS n, round(avg((f IS NOT NULL)::INT), 6) AS hit, count(*) AS hit_n, round(avg(coalesce(1.0::DOUBLE / f, 0)), 6) AS reciprocal_rank, count(*) AS reciprocal_rank_n FROM e""")
 def eval_report(spark, sf_dir):
     v = vectors(spark, sf_dir)
-    ranked = lanes.top(lanes.dense(v, query_vectors(spark, sf_dir)), 20, "d", 0).join(v.select("chunk_id", F.col("label").cast("string").alias("domain")), "chunk_id").select("qid", (F.col("rank0") + 1).alias("rank"), "domain")
+    ranked = lanes.dense_top(v, query_vectors(spark, sf_dir), 20, "d", 0).join(v.select("chunk_id", F.col("label").cast("string").alias("domain")), "chunk_id").select("qid", (F.col("rank0") + 1).alias("rank"), "domain")
     wanted = questions(spark, sf_dir).select("qid", (F.col("qid") % 4).cast("string").alias("want"))
     return evaluation.report(evaluation.first_hits(ranked, wanted))

@@ -11,6 +11,7 @@ import json
 import re
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
+from itertools import pairwise
 from pathlib import PurePosixPath
 from typing import Any
 
@@ -23,12 +24,18 @@ from . import chunking
 CHUNK_SCHEMA = "doc_id string, text string, source_file string, file_type string, heading string, heading_level int, heading_path string, chunk_part string, parent_id string, course string, domain string, date string, tags array<string>, wikilinks array<string>, language string, has_code boolean, error string"
 PARENT_SCHEMA = "parent_id string, source_file string, heading string, heading_path string, text string"
 PIECE = "\n\n\0piece\0\n\n"
-#: Languages of source files by suffix; Python, R and notebooks are read as notes.
+#: Stands in a notebook for prose of a script that is not wanted.
+PLACEHOLDER = "[text in a skipped script]"
+#: The language of a source file by its suffix; Python, R and notebooks are read as notes.
 LANGUAGES = {
-    "javascript": "js jsx mjs cjs", "typescript": "ts tsx", "sql": "sql", "go": "go", "java": "java", "c": "c h", "cpp": "cpp cc cxx hpp hh", "rust": "rs", "bash": "sh bash zsh", "ruby": "rb",
-    "php": "php", "csharp": "cs", "kotlin": "kt kts", "swift": "swift", "scala": "scala", "lua": "lua", "perl": "pl pm", "julia": "jl", "powershell": "ps1",
+    ".js": "javascript", ".jsx": "javascript", ".mjs": "javascript", ".cjs": "javascript",
+    ".ts": "typescript", ".tsx": "typescript",
+    ".sql": "sql", ".go": "go", ".java": "java", ".rs": "rust", ".rb": "ruby", ".php": "php", ".cs": "csharp",
+    ".c": "c", ".h": "c", ".cpp": "cpp", ".cc": "cpp", ".cxx": "cpp", ".hpp": "cpp", ".hh": "cpp",
+    ".sh": "bash", ".bash": "bash", ".zsh": "bash",
+    ".kt": "kotlin", ".kts": "kotlin", ".swift": "swift", ".scala": "scala", ".lua": "lua",
+    ".pl": "perl", ".pm": "perl", ".jl": "julia", ".ps1": "powershell",
 }
-BY_SUFFIX = {f".{s}": language for language, suffixes in LANGUAGES.items() for s in suffixes.split()}
 SKIP = "__SKIP__"
 
 
@@ -47,6 +54,8 @@ class Options:
     output_most: int = 2000
     domain: str = ""
     tags: tuple[str, ...] = ()
+    skip_scripts: tuple[str, ...] = ()
+    daily_folders: tuple[str, ...] = T.DAILY_FOLDERS
 
     def course_of(self, heading: str) -> str | None:
         return next((course for pattern, course in self.course_rules if re.search(pattern, heading, re.IGNORECASE)), None)
@@ -107,11 +116,44 @@ def enclosing(all_: list[Section], i: int) -> Iterator[int]:
             yield j
 
 
+_EMBED = re.compile(r"!\[\[(?P<embed>[^\]]*)\]\]|!\[(?P<image>[^\]]*)\]\([^)]*\)|\[\[(?:[^\]|]+\|)?(?P<shown>[^\]]+)\]\]")
+
+
 def clean(text: str) -> str:
-    """As ``functions.text.clean_markdown``."""
-    for pattern, new in ((r"!\[\[([^\]]*)\]\]", r"[image: \1]"), (r"!\[([^\]]*)\]\([^)]*\)", r"[image: \1]"), (r"\[\[[^\]|]+\|([^\]]+)\]\]", r"\1"), (r"\[\[([^\]]+)\]\]", r"\1"), (r"\n{3,}", "\n\n"), (r"(?s)<!--.*?-->", "")):
-        text = re.sub(pattern, new, text)
-    return text.strip()
+    """As ``functions.text.clean_markdown``: one pass over embeds and links, then blank lines and comments."""
+    shown = _EMBED.sub(lambda m: m["shown"] if m["shown"] is not None else f"[image: {m['embed'] if m['embed'] is not None else m['image']}]", text)
+    return re.sub("(?s)<!--.*?-->", "", re.sub("\n\n\n+", "\n\n", shown)).strip()
+
+
+def outside_fences(text: str) -> list[tuple[bool, str]]:
+    """(whether it is prose, part) in order; parts of code begin and end with their fences."""
+    marks = [m.span() for m in re.finditer(r"(?m)^[^\S\n]*```.*$", text)]
+    edges = [0]
+    for opening, closing in zip(marks[::2], [*marks[1::2], (0, len(text))], strict=False):
+        edges += [opening[0], closing[1]]
+    return [(i % 2 == 0, text[x:y]) for i, (x, y) in enumerate(pairwise([*edges, len(text)]))]
+
+
+def clean_pages(text: str) -> str:
+    """Image marks and notes of left-out pictures go; outside fenced code at most two empty lines follow each other. Code keeps every byte but its image marks."""
+    text = re.sub(r"!\[([^\]]*)\]\([^)]*\)", r"[image: \1]", text)
+    text = re.sub(r"(?i)\*\*==>\s*picture.*?omitted\s*<==\*\*", "", text)
+    return "".join(re.sub(r"\n(?:[^\S\n]*\n){3,}", "\n\n\n", part) if prose else part for prose, part in outside_fences(text)).strip()
+
+
+def script_of(text: str) -> str:
+    """As ``functions.text.detect_script``."""
+    counts = {name: sum(a <= c <= b for c in text) for name, (a, b) in T.SCRIPTS.items()}
+    total, order = sum(counts.values()), sorted(counts, key=lambda n: -counts[n])
+    if not total:
+        return "empty"
+    return order[0] if counts[order[0]] / total >= 0.6 else f"mixed ({order[0]}+{order[1]})"
+
+
+def skipped(text: str, o: Options) -> bool:
+    """As ``functions.text.skips_script``, for the script of a text."""
+    script = script_of(text) if o.skip_scripts else ""
+    return script in o.skip_scripts or (script.startswith("mixed") and any(s in script for s in o.skip_scripts))
 
 
 def header(stack: list[str], course: str, date: str) -> str:
@@ -139,27 +181,25 @@ def parent_of(all_: list[Section], i: int, path: str, course: str, date: str, mo
     return row, len(text)
 
 
-def is_daily(path: str) -> bool:
+def is_daily(path: str, folders: tuple[str, ...] = T.DAILY_FOLDERS) -> bool:
     p = PurePosixPath(path.replace("\\", "/"))
-    return any(re.match(n, p.stem) for n in T.DAILY_NAMES) or any(x.lower() in T.DAILY_FOLDERS for x in p.parts)
+    return any(re.match(n, p.stem) for n in T.DAILY_NAMES) or any(x.lower() in folders for x in p.parts)
+
+
+_DATES = (re.compile(r"(?P<day>\d\d)[-_.](?P<month>\d\d)[-_.](?P<year>\d{4})"), re.compile(r"(?P<year>\d{4})[-_.](?P<month>\d\d)[-_.](?P<day>\d\d)"))
 
 
 def date_of(path: str) -> str:
+    """As ``functions.text.note_date``, with "" for null."""
     name = PurePosixPath(path.replace("\\", "/")).stem
-    for pattern, order in ((r"(\d{2})[-_.](\d{2})[-_.](\d{4})", (3, 2, 1)), (r"(\d{4})[-_.](\d{2})[-_.](\d{2})", (1, 2, 3))):
-        if found := re.search(pattern, name):
-            return "-".join(found[i] for i in order)
-    return ""
+    found = next(filter(None, (p.search(name) for p in _DATES)), None)
+    return "{year}-{month}-{day}".format(**found.groupdict()) if found else ""
 
 
 def hashtags(body: str) -> list[str]:
-    fenced, out = False, set()
-    for line in body.split("\n"):
-        if line.strip().startswith("```"):
-            fenced = not fenced
-        elif not fenced:
-            out.update(re.findall(r"(?:^|\s)#([a-zA-Z][\w/-]*)", line))
-    return sorted(out)
+    """As ``functions.text.hashtags``."""
+    prose = re.split(r"(?m)^\s*?```.*$", body)[::2]
+    return sorted({tag for part in prose for tag in re.findall(r"(?m)(?:^|\s)#([a-zA-Z][\w/-]*)", part)})
 
 
 def pieces_of(text: str, o: Options) -> list[tuple[str, str | None]]:
@@ -176,7 +216,7 @@ def parse_note(path: str, content: str, o: Options) -> Iterator[tuple[dict[str,
     skipped ends it until the next. Skip rules name no course in a standard note.
     """
     front, body = frontmatter(content)
-    daily = is_daily(path)
+    daily = is_daily(path, o.daily_folders)
     tags = hashtags(body)
     if isinstance(front.get("tags"), list):
         tags = sorted({*tags, *map(str, front["tags"])})
@@ -217,65 +257,88 @@ def parse_note(path: str, content: str, o: Options) -> Iterator[tuple[dict[str,
 
 def fence(source: str, language: str, o: Options) -> str:
     """Source in a code fence; Python that is too long in several, cut at its definitions."""
-    if language != "python" or len(source) + 20 <= o.most:
-        return f"```{language}\n{source}\n```"
-    segments = chunking.python_segments(source, max(o.most - 200, 500), o.least)
-    return PIECE.join(f"```python\n{s}\n```" for s in segments)
+    room = o.most - 20
+    parts = chunking.python_segments(source, max(o.most - 200, 500), o.least) if language == "python" and len(source) > room else [source]
+    return PIECE.join(f"```{language}\n{x}\n```" for x in parts)
 
 
 def _joined(x: Any) -> str:
     return "".join(x) if isinstance(x, list) else x or ""
 
 
+def _colourless(lines: list[str] | None) -> str:
+    return re.sub(r"\x1b\[[\d;]*m", "", "\n".join(lines or []))
+
+
+#: What each type of a cell's output says.
+_SAYS: dict[str, Callable[[dict[str, Any]], str]] = {
+    "stream": lambda out: _joined(out.get("text")),
+    "execute_result": lambda out: _joined((out.get("data") or {}).get("text/plain")),
+    "display_data": lambda out: _joined((out.get("data") or {}).get("text/plain")),
+    "error": lambda out: _colourless(out.get("traceback")),
+}
+
+
 def cell_output(cell: dict[str, Any], o: Options) -> str:
     """What a code cell printed, returned or raised, without colours and cut to a length."""
-    said = []
-    for out in (cell.get("outputs") or []) * o.outputs:
-        kind = out.get("output_type")
-        if kind == "stream":
-            said.append(_joined(out.get("text")))
-        elif kind in ("execute_result", "display_data"):
-            said.append(_joined((out.get("data") or {}).get("text/plain")))
-        elif kind == "error":
-            said.append("\n".join(re.sub(r"\x1b\[[0-9;]*m", "", x) for x in out.get("traceback") or []))
-    text = "\n".join(x for x in said if x.strip())
-    if len(text) > o.output_most:
-        text = text[: o.output_most] + "\n... [output truncated]"
-    return f"\n_Output:_\n```\n{text}\n```\n" if text else ""
-
-
-def render(path: str, content: str, o: Options) -> tuple[str, str, str, bool]:
+    outputs = cell.get("outputs") or [] if o.outputs else []
+    said = "\n".join(filter(str.strip, (_SAYS.get(out.get("output_type"), lambda _: "")(out) for out in outputs)))
+    rest = "\n... [output truncated]" if len(said) > o.output_most else ""
+    return f"\n_Output:_\n```\n{said[: o.output_most]}{rest}\n```\n" if said else ""
+
+
+Rendered = tuple[str, str, str, bool]
+
+
+def _notebook(content: str, suffix: str, o: Options) -> Rendered:
+    book = json.loads(content)
+    meta = book.get("metadata") or {}
+    named = [(meta.get(k) or {}).get(n) for k, n in (("kernelspec", "language"), ("language_info", "name"))]
+    language = next(filter(None, named), "python")
+    shown = "python" if language.startswith("python") else language
+
+    def cell_parts(kind: str, text: str, cell: dict[str, Any]) -> list[str]:
+        if kind == "code":
+            return [fence(text, shown, o), cell_output(cell, o)]
+        # Too short a text says nothing of its script.
+        return [PLACEHOLDER if len(text.strip()) >= 12 and skipped(text, o) else text]
+
+    cells = [(c.get("cell_type"), _joined(c.get("source")).rstrip(), c) for c in book.get("cells") or []]
+    cells = [c for c in cells if c[0] in ("code", "markdown", "raw") and c[1].strip()]
+    code = any(kind == "code" for kind, *_ in cells)
+    text = "\n\n".join(p for c in cells for p in cell_parts(*c) if p.strip())
+    # Without code, and with next to nothing besides what was left out, a notebook is not worth a chunk.
+    empty = not code and PLACEHOLDER in text and len(re.sub(r"[#>*`\-_=\s]+", "", text.replace(PLACEHOLDER, ""))) < 50
+    return "" if empty else text, "ipynb", language, code
+
+
+def _rmarkdown(content: str, suffix: str, o: Options) -> Rendered:
+    text = re.sub(r"```\{r[^}]*\}", "```r", content.rstrip())
+    return text, "rmd", "r", "```r" in text
+
+
+def _python(content: str, suffix: str, o: Options) -> Rendered:
+    cells = map(str.strip, re.split(r"(?m)^\s*#\s*%%.*$", content)) if re.search(r"(?m)^\s*#\s*%%", content) else [content.rstrip()]
+    return "\n\n".join(fence(c, "python", o) for c in cells if c), "py", "python", bool(content.strip())
+
+
+def _r(content: str, suffix: str, o: Options) -> Rendered:
+    return fence(content.rstrip(), "r", o) if content.strip() else "", "r", "r", bool(content.strip())
+
+
+def _code(content: str, suffix: str, o: Options) -> Rendered:
+    language = LANGUAGES[suffix]
+    segments = chunking.code_segments(content.rstrip(), max(o.most - 200, 500), o.least, language == "sql")
+    return PIECE.join(f"```{language}\n{s}\n```" for s in segments), "code", language, bool(content.strip())
+
+
+_READERS: dict[str, Callable[[str, str, Options], Rendered]] = {".ipynb": _notebook, ".rmd": _rmarkdown, ".py": _python, ".r": _r} | dict.fromkeys(LANGUAGES, _code)
+
+
+def render(path: str, content: str, o: Options) -> Rendered:
     """A notebook or source file as (markdown, file_type, language, has_code)."""
     suffix = PurePosixPath(path).suffix.lower()
-    source = content.rstrip()
-    if suffix == ".ipynb":
-        book = json.loads(content)
-        meta = book.get("metadata") or {}
-        language = (meta.get("kernelspec") or {}).get("language") or (meta.get("language_info") or {}).get("name") or "python"
-        parts, code = [], False
-        for cell in book.get("cells") or []:
-            text = _joined(cell.get("source")).rstrip()
-            if not text.strip():
-                continue
-            if cell.get("cell_type") == "code":
-                code = True
-                parts += [fence(text, "python" if language.startswith("python") else language, o), cell_output(cell, o)]
-            elif cell.get("cell_type") in ("markdown", "raw"):
-                parts.append(text)
-        return "\n\n".join(p for p in parts if p.strip()), "ipynb", language, code
-    if suffix == ".rmd":
-        text = re.sub(r"```\{r[^}]*\}", "```r", source)
-        return text, "rmd", "r", "```r" in text
-    if not source.strip():
-        return "", suffix[1:], "", False
-    if suffix == ".py":
-        blocks = [b.strip() for b in re.split(r"(?m)^\s*#\s*%%.*$", source)] if re.search(r"(?m)^\s*#\s*%%", source) else [source]
-        return "\n\n".join(fence(b, "python", o) for b in blocks if b), "py", "python", True
-    if suffix == ".r":
-        return fence(source, "r", o), "r", "r", True
-    language = BY_SUFFIX[suffix]
-    segments = chunking.code_segments(source, max(o.most - 200, 500), o.least, language == "sql")
-    return PIECE.join(f"```{language}\n{s}\n```" for s in segments), "code", language, True
+    return _READERS[suffix](content, suffix, o)
 
 
 def parse_rendered(path: str, content: str, o: Options) -> Iterator[tuple[dict[str, Any], None]]:
@@ -295,7 +358,7 @@ def parser_for(path: str) -> Callable[[str, str, Options], Iterator[tuple[dict[s
     suffix = PurePosixPath(path).suffix.lower()
     if suffix == ".md":
         return parse_note
-    return parse_rendered if suffix in (".ipynb", ".py", ".r", ".rmd") or suffix in BY_SUFFIX else None
+    return parse_rendered if suffix in _READERS else None
 
 
 def _rows(schema: str, options: Options, want_parents: bool) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
