@@ -93,8 +93,8 @@ def live_lane(spark: SparkSession, provider: Callable[[str], list[dict]], asked:
         except Exception:  # a live lane is an addition; the others answer without it
             hits = []
         good = [h for h in hits if h["path"].rsplit(".", 1)[-1].lower() in suffixes and len(h.get("excerpt") or "") >= least]
-        rows += [(qid, "live", 5, i, f"omni::{h['path']}", None) for i, h in enumerate(good[:k])]
-    return spark.createDataFrame(rows, "qid long, lane string, lane_ord int, rank0 int, chunk_id string, score double")
+        rows += [(qid, "live", lanes.ORDER["live"], i, f"omni::{h['path']}", None, h["excerpt"]) for i, h in enumerate(good[:k])]
+    return spark.createDataFrame(rows, "qid long, lane string, lane_ord int, rank0 int, chunk_id string, score double, text string")
 
 
 def read_pages(images: DataFrame, engine: Callable[[bytes], str]) -> DataFrame:

@@ -236,6 +236,48 @@ def hybrid_search(spark, sf_dir):
     return out.select("qid", "rank", "chunk_id", "score", F.col("ranks")["dense"].alias("dense_rank"), F.col("ranks")["sparse"].alias("sparse_rank"))
 
 
+SCOPES = (lanes.Scope("en", ("english corner",)), lanes.Scope("books", ("pdf page",), ("src1",), ("pdf",)))
+
+
+def _asked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The questions, some of them about code, a domain or a kind of content."""
+    q = F.col("qid")
+    code = F.when(q % 5 == 0, "show the python code for ").otherwise("")
+    scope = F.when(q % 4 == 1, " in the english corner").when(q % 4 == 2, " as pdf pages").otherwise("")
+    return questions(spark, sf_dir).select("qid", F.concat(code, "question", scope).alias("question"))
+
+
+ENGINE = f"""{CHUNKS}, q AS (SELECT item_id AS qid, CASE WHEN item_id % 5 = 0 THEN 'show the python code for ' ELSE '' END || text || CASE item_id % 4 WHEN 1 THEN ' in the english corner' WHEN 2 THEN ' as pdf pages' ELSE '' END AS question FROM benchmark),
+s AS (SELECT qid, regexp_matches(lower(question), '\\b(code|function|script|snippet|implement|syntax|python|sql|pandas)s?\\b|\\bgeom_') AS code, regexp_matches(lower(question), '\\benglish corners?\\b') AS en, regexp_matches(lower(question), '\\bpdf pages?\\b') AS books FROM q),
+{BM25.replace("SELECT item_id AS qid, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS term FROM benchmark", "SELECT qid, unnest(regexp_extract_all(lower(question), '[a-z0-9]+')) AS term FROM q")}, {DENSE},
+sd AS (SELECT qid, chunk_id FROM s, chunks WHERE (en OR books) AND (NOT en OR domain = 'en') AND (NOT books OR contains(source_file, 'src1') OR file_type = 'pdf')),
+cd AS (SELECT qid, chunk_id FROM s, chunks WHERE code AND file_type IN ('ipynb','py','r','rmd')),
+d2 AS (SELECT de.* FROM de JOIN cd USING (qid, chunk_id)), b2 AS (SELECT bm.* FROM bm JOIN cd USING (qid, chunk_id)), d3 AS (SELECT de.* FROM de JOIN sd USING (qid, chunk_id)), b3 AS (SELECT bm.* FROM bm JOIN sd USING (qid, chunk_id)),
+lanes AS ({top_sql('de', 20, 'dense', 0)} UNION ALL {top_sql('bm', 20, 'sparse', 1)} UNION ALL {top_sql('d2', 10, 'dense_code', 2)} UNION ALL {top_sql('b2', 10, 'sparse_code', 3)} UNION ALL {top_sql('d3', 10, 'dense_scope', 4)} UNION ALL {top_sql('b3', 10, 'sparse_scope', 5)}),
+fused AS (SELECT qid, chunk_id, round(sum(1.0::DOUBLE / (60 + rank0)), 6) AS score, min(lane_ord * 1000 + rank0) AS first_seen FROM lanes GROUP BY ALL),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, first_seen) AS before FROM fused),
+raised AS (SELECT r.qid, chunk_id, before, round(r.score * CASE WHEN len(list_filter(tags, lambda t: len(t) >= 3 AND lower(t) NOT IN ('unknown','general') AND contains(lower(question), lower(t)))) > 0 THEN 1.15 ELSE 1 END * CASE WHEN code AND has_code THEN 1.2 ELSE 1 END, 6) AS score FROM ranked r JOIN chunks USING (chunk_id) JOIN q USING (qid) JOIN s USING (qid)),
+ended AS (SELECT qid, chunk_id, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, before) AS rank FROM raised)"""
+
+
+def _engine(spark: SparkSession, sf_dir: str):
+    from .engine import Engine
+
+    return Engine(spark, chunks(spark, sf_dir), vectors(spark, sf_dir), scopes=SCOPES, presets={"code": {"boost_code": True}}, settings={"auto_preset": True, "rerank_mode": "none", "neighbor_context": False})
+
+
+@register(f"WITH {ENGINE} SELECT qid, rank, chunk_id, score FROM ended WHERE rank <= 7")
+def engine_search(spark, sf_dir):
+    """The engine over questions with and without signals: all lanes, fused, boosted, the best seven."""
+    return _engine(spark, sf_dir).search(_asked(spark, sf_dir), query_vectors(spark, sf_dir)).select("qid", "rank", "chunk_id", "score")
+
+
+@register(f"""WITH {ENGINE} SELECT qid, CASE WHEN code THEN 'code' END AS preset, code AS boost_code, concat_ws(',', CASE WHEN books THEN 'content:books' END, CASE WHEN en THEN 'domain:en' END) AS scope, (SELECT count(*) FROM ended WHERE ended.qid = s.qid) AS candidates FROM s""")
+def engine_echo(spark, sf_dir):
+    _, echo = _engine(spark, sf_dir).search_with_echo(_asked(spark, sf_dir), query_vectors(spark, sf_dir))
+    return echo.select("qid", "preset", "boost_code", F.array_join("scope", ",").alias("scope"), "candidates")
+
+
 MANIFEST = f"""{CHUNKS}, each_file AS (SELECT source_file, jsonl, count(*) AS chunks, arg_max(course, ord) FILTER (WHERE lower(course) <> 'unknown') AS course, arg_max(domain, ord) FILTER (WHERE lower(domain) <> 'general') AS domain FROM chunks GROUP BY ALL),
 ft AS (SELECT source_file, string_agg(file_type, ',' ORDER BY jsonl, o) AS file_types FROM (SELECT source_file, file_type, min(jsonl) AS jsonl, arg_min(o, jsonl) AS o FROM (SELECT source_file, jsonl, file_type, min(ord) AS o FROM chunks GROUP BY ALL) GROUP BY ALL) GROUP BY ALL),
 tg AS (SELECT source_file, jsonl, tag, min(ord * 10 + i) AS o FROM (SELECT source_file, jsonl, ord, unnest(tags) AS tag, generate_subscripts(tags, 1) AS i FROM chunks) GROUP BY ALL),

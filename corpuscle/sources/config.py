@@ -44,7 +44,7 @@ class Config:
 
 
 #: Knobs of a search that a call, a preset and the configuration may set, with what holds if none does.
-KNOBS: dict[str, Any] = {"top_k": 7, "dense_k": 20, "sparse_k": 20, "rrf_k": 60, "rerank_mode": "lexical", "rerank_instruction": "", "hyde": False, "scope_routing": True, "parent_context": True, "neighbor_context": True, "boost": True}
+KNOBS: dict[str, Any] = {"top_k": 7, "dense_k": 20, "sparse_k": 20, "rrf_k": 60, "rerank_mode": "lexical", "rerank_instruction": "", "hyde": False, "hype": True, "live": True, "scope_routing": True, "parent_context": True, "neighbor_context": True, "boost": True, "boost_code": False}
 
 
 def resolve(call: Mapping[str, Any], presets: Mapping[str, Mapping[str, Any]], config: Mapping[str, Any], code_question: bool = False) -> dict[str, Any]:

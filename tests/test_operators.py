@@ -148,8 +148,39 @@ def test_engine(spark, sf):
     engine = Engine(spark, chunks, catalogue.vectors(spark, sf).select("chunk_id", "embedding"), parents)
     asked, vectors = catalogue.questions(spark, sf).limit(3), catalogue.query_vectors(spark, sf)
     found = engine.search(asked, vectors, top_k=5)
-    assert found.groupBy("qid").count().agg(F.max("count")).first()[0] <= 5
+    assert found.where("neighbor_of IS NULL").groupBy("qid").count().agg(F.max("count")).first()[0] <= 5
     answers = engine.answer(asked, found, lambda prompt: "<think>x</think>Yes [1] and [77]. CONFIDENCE: HIGH").collect()
     assert {(r["confidence"], tuple(r["dangling"])) for r in answers} == {("HIGH", (77,))}
     both = engine.compare(asked, {"a": {"rerank_mode": "none"}, "b": {"rerank_mode": "lexical"}}, vectors)
     assert evaluation.pairwise(both).count() == 3
+
+
+def test_engine_steps(spark):
+    """HyDE, code and scope lanes, a live lane and neighbours, and the echo of all of them."""
+    from corpuscle.operators import lanes
+    from corpuscle.plans.engine import Engine
+
+    rows = [(str(i), f"word{i} common page {i}", "book.pdf" if i < 6 else "notes/x.md", "pdf" if i < 6 else ("py" if i == 8 else "note"), "ml" if i < 6 else "db", i) for i in range(10)]
+    chunks = spark.createDataFrame(rows, "chunk_id string, text string, source_file string, file_type string, domain string, page_start int").withColumns({"tags": F.array(F.lit("x")), "has_code": F.col("file_type") == "py", "parent_id": F.lit(None).cast("string")})
+    asked = spark.createDataFrame([(1, "common word3"), (2, "python code common"), (3, "common about databases"), (4, "nothing here")], "qid long, question string")
+    live = spark.createDataFrame([(1, "live", lanes.ORDER["live"], 0, "omni::n.md", None, "a fresh note on word3")], "qid long, lane string, lane_ord int, rank0 int, chunk_id string, score double, text string")
+
+    def suppose(question):
+        if "nothing" in question:
+            return "word7"
+        raise RuntimeError("no model")
+
+    engine = Engine(spark, chunks, scopes=(lanes.Scope("db", ("database",)),), presets={"code": {"boost_code": True}}, settings={"auto_preset": True, "hyde": True, "top_k": 3}, hypothesis=suppose)
+    docs, echo = engine.search_with_echo(asked, live=live, rerank_mode="none")
+    told = {r["qid"]: r.asDict() for r in echo.collect()}
+    assert {q: r["boost_code"] for q, r in told.items()} == {1: False, 2: True, 3: False, 4: False}
+    assert told[2]["preset"] == "code" and [told[q]["hyde_used"] for q in (1, 2, 3, 4)] == [False, False, False, True]
+    assert [told[q]["scope"] for q in (1, 3)] == [[], ["domain:db"]] and told[1]["live_hits"] == 1
+    by = {}
+    for r in docs.orderBy("rank").collect():
+        by.setdefault(r["qid"], []).append(r)
+    assert {r["chunk_id"] for r in by[1]} >= {"3", "omni::n.md", "2", "4"} and told[1]["neighbors"] == sum(r["neighbor_of"] is not None for r in by[1]) > 0
+    assert by[2][0]["chunk_id"] == "8" and all(int(r["chunk_id"]) >= 6 for r in by[3] if r["neighbor_of"] is None)
+    assert [r["chunk_id"] for r in by[4]][0] == "7"
+    plain = engine.search(asked, rerank_mode="none", auto_preset=False, scope_routing=False, neighbor_context=False)
+    assert plain.groupBy("qid").count().agg(F.max("count")).first()[0] == 3
