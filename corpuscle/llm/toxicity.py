@@ -2,17 +2,16 @@
 
 A text is lower-cased (A-Z) and cut at white space; its features are the n-grams of 3 to
 5 characters (code points) of each word, its ends marked, hashed to ``FEATURES`` buckets.
-A feature's value is log(1 + count) over the norm of all of the text's values, times the feature's ratio
-r = log((p + a) / (P + a)) - log((q + b) / (Q + b)): p of the P toxic and q of the Q clean
-training texts have it, and a : b = P : Q, so that a feature never seen has ratio 0.
-Logistic regression over these values, both classes weighing the same, gives the weights.
+A feature's value is log(1 + count) over the norm of all of the text's values, times the
+feature's ratio r = log((p + a) / (P + a)) - log((q + b) / (Q + b)): p of the P toxic and
+q of the Q clean training texts have it, and a : b = P : Q, so that a feature never seen
+has ratio 0. Logistic regression over these values, both classes weighing the same, gives the weights.
 
 Training reads labelled rows alone, and of them a bounded sample, by least hash of the
 key: ``MOST_TOXIC`` and ``MOST_CLEAN`` texts, ``MOST_CHARS`` code points together; a text
-that doesn't fit is left out, and later ones still are taken. Their
-features are made by executors; the driver sees those with a ratio beyond ``LEAST_RATIO``
-and fits their weights. Scoring reads every text whole, with a model of one number for
-each bucket, whatever the corpus.
+that doesn't fit is left out, and later ones still are taken. One task fits the weights
+of the features with a ratio beyond ``LEAST_RATIO``; the driver gets these alone. Scoring
+reads every text whole, with a model of one number for each bucket, whatever the corpus.
 
 Defined cases: null and empty texts have no features and the score of the bias alone;
 a key with several labels is toxic if one says so; null labels are left out; without a
@@ -118,18 +117,27 @@ def _presence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(p[some]), pa.array(q[some])], names=["f", "p", "q"])
 
 
-def _chosen(ratio):
+def _fitted(ratio):
+    """The whole sample, in order, to one row: indices of the weighted buckets, their weights, the bias."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         r = ratio.value
+        used = np.flatnonzero(r)
         place = (np.cumsum(r != 0) - 1).astype(np.int32)
+        y, f, v = [], [], []
         for batch in batches:
-            f, v = [], []
+            y += batch.column("toxic").to_pylist()
             for buckets, counts in counted(batch.column("text").to_pylist()):
                 x = values(counts)
                 keep = r[buckets] != 0
                 f.append(place[buckets[keep]])
                 v.append((x[keep] * r[buckets[keep]]).astype(np.float32))
-            yield pa.RecordBatch.from_arrays([batch.column("toxic"), batch.column("h"), pa.array(f, pa.list_(pa.int32())), pa.array(v, pa.list_(pa.float32()))], names=["toxic", "h", "f", "v"])
+        sizes = np.array([len(x) for x in f], np.int64)
+        # One after the other, so that no more than one of them is held twice.
+        f = np.concatenate(f)
+        v = np.concatenate(v)
+        weights, bias = fit(np.array(y, np.float64), sizes, f, v, len(used))
+        yield pa.RecordBatch.from_arrays([pa.array([used.astype(np.int32)]), pa.array([(weights * r[used]).astype(np.float32)]), pa.array([bias])], names=["f", "w", "bias"])
 
     return run
 
@@ -195,14 +203,12 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     ratio = np.zeros(FEATURES, np.float32)
     ratio[telling.column("f").to_numpy()] = telling.column("r").to_numpy()
     shared = docs.sparkSession.sparkContext.broadcast(ratio)
-    chosen = labelled.mapInArrow(_chosen(shared), "toxic int, h long, f array<int>, v array<float>").orderBy("h", "toxic").toArrow().combine_chunks()
+    # One task has the whole sample, which is bounded; the driver gets a weight for each bucket.
+    whole = labelled.coalesce(1).sortWithinPartitions("h", "toxic", "text").mapInArrow(_fitted(shared), "f array<int>, w array<float>, bias double").toArrow()
     shared.destroy()
-    f, v = (chosen.column(c).combine_chunks() for c in ("f", "v"))
-    sizes = np.diff(f.offsets.to_numpy())
-    used = np.flatnonzero(ratio)
-    weights, bias = fit(chosen.column("toxic").to_numpy().astype(np.float64), sizes, f.flatten().to_numpy(), v.flatten().to_numpy(), len(used))
-    ratio[used] *= weights
-    return ratio, bias
+    weights = np.zeros(FEATURES, np.float32)
+    weights[whole.column("f").combine_chunks().flatten().to_numpy()] = whole.column("w").combine_chunks().flatten().to_numpy()
+    return weights, whole.column("bias")[0].as_py()
 
 
 def _scored(model):
