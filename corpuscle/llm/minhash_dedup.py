@@ -10,7 +10,7 @@
 4. Buckets never give all their pairs. Every member is compared with one pivot, and the
    links make groups; buckets that are one group are done, as their other pairs can't
    change the result. Of the others, those with ``pivots`` members or fewer compare what
-   is still apart; larger ones a few central members, and then, in blocks of bounded size,
+   is still apart; larger ones a few members, and then, in blocks of bounded size,
    all that is outside their largest group. No bucket is capped or sampled.
 5. Candidate pairs pass a test on signatures (six standard deviations below the
    threshold) and are then confirmed on the full sets.
@@ -222,42 +222,11 @@ def group(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 2,
     return out.select(F.col("id").alias(key), "n_shingles", "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
 
-def _each(k: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = batch.column(1).cast(pa.binary()).to_pylist()
-            for low, high in portions(texts):
-                hashes, bounds = Words(texts[low:high], lower=True).shingles(k)
-                sets = [np.unique(hashes[bounds[i] : bounds[i + 1]]) for i in range(high - low)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(low, high - low).take(pa.array(np.repeat(np.arange(high - low), [len(x) for x in sets]))), pa.array(signed(np.concatenate(sets)))], names=["id", "h"])
-
-    return run
-
-
-def _bounded(members: DataFrame, texts: DataFrame, k: int, percent: int, large: int) -> DataFrame:
-    """Members of buckets with more than ``large`` of them, with the number of shingles that none of these others has.
-
-    In a large group of loose copies most pairs fall short of the threshold, and most of
-    those have too many shingles of their own. A member that no other can reach leaves.
-    """
-    crowded = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("_c")).where(F.col("_c") > large).select("bucket", F.lit(True).alias("_big"))
-    flagged = scratch.save(members.drop("own").join(crowded, "bucket", "left"), "flagged")
-    ids = flagged.where("_big").select("id").distinct()
-    shingles = texts.join(ids, "id", "left_semi").mapInArrow(_each(k), "id long, h long")
-    lone = shingles.groupBy("h").agg(F.min("id").alias("id"), F.max("id").alias("_hi")).where("id = _hi")
-    # Rows of one doc_id with different texts are one node, for which no bound is known.
-    double = flagged.groupBy("id").agg(F.min("n").alias("_a"), F.max("n").alias("_b")).where("_a < _b").select("id")
-    own = lone.join(double, "id", "left_anti").groupBy("id").agg(F.count(F.lit(1)).alias("own")).withColumn("_big", F.lit(True))
-    known = flagged.join(own, ["id", "_big"], "left").withColumn("own", F.coalesce("own", F.lit(0).cast("long")))
-    return scratch.save(known.where(100 * (F.col("n") - F.col("own")) >= percent * F.col("n")).select("bucket", "id", "n", "comp", "own", F.coalesce("_big", F.lit(False)).alias("big")), "bounded")
-
-
 def _compare(s: dict, members: DataFrame, chosen: DataFrame) -> DataFrame:
     """Links between the chosen (bucket, pivot) and their buckets' members of other groups, confirmed."""
-    named = members.select("bucket", F.col("id").alias("pivot"), F.col("comp").alias("_pc"), F.col("n").alias("_pn"), F.col("own").alias("_po")).join(chosen, ["bucket", "pivot"])
-    # What two sets can have in common at most: neither's shingles that no other of the bucket has.
-    most = F.least(F.col("n") - F.col("own"), F.col("_pn") - F.col("_po"))
-    near = (100 * most >= s["percent"] * (F.col("n") + F.col("_pn") - most)) & (F.col("comp") != F.col("_pc"))
+    named = members.select("bucket", F.col("id").alias("pivot"), F.col("comp").alias("_pc"), F.col("n").alias("_pn")).join(chosen, ["bucket", "pivot"])
+    # Two sets have the smaller one in common at most.
+    near = (100 * F.least("n", "_pn") >= s["percent"] * F.greatest("n", "_pn")) & (F.col("comp") != F.col("_pc"))
     pairs = members.join(named, "bucket").where(near).select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b")).distinct()
     a, b = (s["sigs"].select(F.col("id").alias(x), F.col("sig").alias(f"sig_{x}")) for x in "ab")
     likely = pairs.join(a, "a").join(b, "b").select("a", "b", "sig_a", "sig_b").mapInArrow(_likely(s["least"]), "a long, b long")
@@ -288,6 +257,8 @@ def _block(k: int, percent: int):
         names, places = np.unique(np.concatenate(sets), return_inverse=True)
         starts = np.cumsum(size) - size
         inner = np.flatnonzero(~outer)
+        if not len(inner) or not outer.any():
+            return pa.table({"u": pa.array([], pa.int64()), "v": pa.array([], pa.int64())})
         # The inner sets' elements end to end: an outer set counts those that it has, set by set.
         elements = np.concatenate([places[starts[i] : starts[i] + size[i]] for i in inner])
         edges = np.cumsum(size[inner]) - size[inner]
@@ -327,7 +298,7 @@ def _in_blocks(s: dict, members: DataFrame, block: int = 1 << 18) -> DataFrame:
 def _links(body: DataFrame, reps: DataFrame, k: int, percent: int, pivots: int) -> DataFrame:
     every = reps.select(F.explode("bands").alias("bucket"), "id", F.col("n_shingles").alias("n"))
     shared = every.groupBy("bucket").agg(F.min("id").alias("_lo"), F.max("id").alias("_hi")).where("_lo < _hi").select("bucket")
-    members = scratch.save(every.join(shared, "bucket").withColumns({"comp": F.col("id"), "own": F.lit(0).cast("long")}), "members")
+    members = scratch.save(every.join(shared, "bucket").withColumn("comp", F.col("id")), "members")
     wanted = members.select("id").distinct()
     deviation = (percent / 100 * (1 - percent / 100) / PLACES) ** 0.5
     s = {
@@ -339,10 +310,11 @@ def _links(body: DataFrame, reps: DataFrame, k: int, percent: int, pivots: int)
     chosen = scratch.save(members.groupBy("bucket").agg(F.min("id").alias("pivot")), "pivots")
     links = _compare(s, members, chosen)
     members = _still_open(members, links)
-    # Small buckets compare all that is left; large ones a few of their most central members, which have the fewest
-    # shingles of their own. Each task passes on the first few of a bucket alone, so none is gathered to be ranked.
-    members = _bounded(members, s["texts"], k, percent, pivots)
-    order = Window.partitionBy("bucket").orderBy("own", F.xxhash64("id"), "id")
+    # Small buckets compare all that is left; large ones a few members, by hash. Each task passes on the first few of
+    # a bucket alone, so none is gathered to be ranked.
+    crowded = members.groupBy("bucket").agg((F.count(F.lit(1)) > pivots).alias("big"))
+    members = scratch.save(members.join(crowded, "bucket"), "crowded")
+    order = Window.partitionBy("bucket").orderBy(F.xxhash64("id"), "id")
     first = members.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= pivots)
     chosen = scratch.save(first.where("NOT big OR _r <= 4").select("bucket", F.col("id").alias("pivot")), "pivots")
     links = links.unionByName(_compare(s, members, chosen))
