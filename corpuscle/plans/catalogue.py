@@ -117,7 +117,7 @@ def corpus_stats(spark, sf_dir):
 
 @register(f"WITH {BM25} SELECT qid, rank0, chunk_id, score FROM {top_sql('bm', 20, 's', 0)}")
 def bm25_topk(spark, sf_dir):
-    return lanes.top(lanes.bm25(chunks(spark, sf_dir), questions(spark, sf_dir)), 20, "s", 0).select("qid", "rank0", "chunk_id", "score")
+    return lanes.bm25_top(chunks(spark, sf_dir), questions(spark, sf_dir), 20, "s", 0).select("qid", "rank0", "chunk_id", "score")
 
 
 @register(f"WITH {DENSE} SELECT qid, rank0, chunk_id, score FROM {top_sql('de', 20, 'd', 0)}")
