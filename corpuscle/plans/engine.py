@@ -80,22 +80,22 @@ class Engine:
             query_vectors = query_vectors.join(queries.select("qid"), "qid", "left_semi")
         meta = self.chunks.select("chunk_id", "domain", "source_file", "file_type")
         at = lanes.ORDER
-        sparse = lanes.bm25(self.chunks, searched)
         near = self.vectors is not None and query_vectors is not None
         found = [lanes.dense_top(self.vectors, query_vectors, k["dense_k"], "dense", at["dense"])] if near else []
-        found.append(lanes.top(sparse, k["sparse_k"], "sparse", at["sparse"]))
+        sparse = [lanes.Sparse(k["sparse_k"], "sparse", at["sparse"])]
         if k["boost_code"]:
             code = meta.where(lanes.code_filter()).select("chunk_id")
             if near:
                 found.append(lanes.dense_top(self.vectors.join(code, "chunk_id", "left_semi"), query_vectors, lanes.narrow(k["dense_k"]), "dense_code", at["dense_code"]))
-            found.append(lanes.top(sparse.join(code, "chunk_id", "left_semi"), lanes.narrow(k["sparse_k"]), "sparse_code", at["sparse_code"]))
+            sparse.append(lanes.Sparse(lanes.narrow(k["sparse_k"]), "sparse_code", at["sparse_code"], where=lanes.code_filter()))
         if self.scopes and k["scope_routing"]:
             # Signals are looked for in the question itself; a hypothetical answer would add its own.
             scopes = lanes.scopes_of(queries.select("qid", "question"), self.scopes)
             if near:
-                found.append(lanes.top(lanes.dense_scoped(self.vectors, meta, query_vectors, scopes), lanes.narrow(k["dense_k"]), "dense_scope", at["dense_scope"]))
-            held = sparse.join(scopes, "qid").join(meta, "chunk_id").where(lanes.within_scope())
-            found.append(lanes.top(held.select("qid", "chunk_id", "score"), lanes.narrow(k["sparse_k"]), "sparse_scope", at["sparse_scope"]))
+                found.append(lanes.dense_scoped_top(self.vectors, meta, query_vectors, scopes, lanes.narrow(k["dense_k"]), "dense_scope", at["dense_scope"]))
+            sparse.append(lanes.Sparse(lanes.narrow(k["sparse_k"]), "sparse_scope", at["sparse_scope"], scopes=scopes))
+        # All lanes by words read the texts together.
+        found.append(lanes.bm25_lanes(self.chunks, searched, sparse))
         if live is not None and k["live"]:
             found.append(live.join(queries.select("qid"), "qid", "left_semi").select(*found[0].columns))
         if self.questions is not None and near and k["hype"]:
@@ -105,7 +105,7 @@ class Engine:
 
     def _retrieved(self, queries: DataFrame, query_vectors: DataFrame | None, live: DataFrame | None, k: Mapping[str, Any]) -> DataFrame:
         asked = self._expanded(queries, k)
-        fused = fusion.fuse(self._lanes(asked, query_vectors, live, k), k["rrf_k"])
+        fused = fusion.fuse(lanes.small(self._lanes(asked, query_vectors, live, k)), k["rrf_k"])
         if k["boost"] or k["boost_code"]:
             fused = fusion.boost(fused, self._known(live), asked.select("qid", F.col("searched").alias("question"), F.lit(bool(k["boost_code"])).alias("wants_code")))
         return fusion.ranked(fused)
@@ -133,7 +133,8 @@ class Engine:
         return lanes.together(*(docs for docs, _ in made)), lanes.together(*(echo for _, echo in made))
 
     def _searched(self, queries: DataFrame, query_vectors: DataFrame | None, scorer: Any, live: DataFrame | None, k: Mapping[str, Any]) -> tuple[DataFrame, DataFrame]:
-        found = self._retrieved(queries, query_vectors, live, k)
+        # Candidates are few; the echo, the texts and the neighbours all meet the same rows.
+        found = lanes.small(self._retrieved(queries, query_vectors, live, k).select("qid", "chunk_id", "score", "first_seen", "rank"))
         pool = found.join(self._known(live), "chunk_id").join(queries, "qid")
         best = fusion.rerank(pool, k["rerank_mode"], k["top_k"], scorer, k["rerank_instruction"])
         columns = ["qid", "rank", "chunk_id", "text", "score", "rerank_score"]
@@ -143,7 +144,7 @@ class Engine:
             out = expansion.swap_parents(best.select("qid", "rank", "chunk_id", "parent_id", "text"), self.parents).join(scores, ["qid", "chunk_id"]).select(*columns, "swapped")
         out = out.withColumn("neighbor_of", F.lit(None).cast(self.chunks.schema["chunk_id"].dataType))
         if k["neighbor_context"] and {"page_start", "source_file"} <= set(self.chunks.columns):
-            hits = out.select("qid", "rank", "chunk_id").join(self.chunks.select("chunk_id", "source_file", "file_type", "page_start"), "chunk_id")
+            hits = lanes.small(out.select("qid", "rank", "chunk_id")).join(self.chunks.select("chunk_id", "source_file", "file_type", "page_start"), "chunk_id")
             last = out.groupBy("qid").agg(F.max("rank").alias("_last"))
             beside = expansion.add_neighbors(hits, self.chunks).join(last, "qid")
             none = F.lit(None).cast("double")
