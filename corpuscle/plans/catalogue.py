@@ -85,7 +85,7 @@ def top_sql(source: str, k: int, lane: str, ord_: int) -> str:
 def main_lanes(spark: SparkSession, sf_dir: str, k: int = 20) -> DataFrame:
     c, q = chunks(spark, sf_dir), questions(spark, sf_dir)
     dense = lanes.dense_top(vectors(spark, sf_dir), query_vectors(spark, sf_dir), k, "dense", 0)
-    return lanes.together(dense, lanes.top(lanes.bm25(c, q), k, "sparse", 1))
+    return lanes.small(lanes.together(dense, lanes.bm25_top(c, q, k, "sparse", 1)))
 
 
 LANES = f"{BM25}, {DENSE}, lanes AS ({top_sql('de', 20, 'dense', 0)} UNION ALL {top_sql('bm', 20, 'sparse', 1)})"
