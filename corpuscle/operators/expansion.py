@@ -6,6 +6,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .lanes import small
+
 #: Fixed value: what a neighbouring page begins with.
 NEIGHBOR_MARK = "[supplementary context — adjacent page of the same source]\n"
 
@@ -28,7 +30,7 @@ def neighbor_candidates(hits: DataFrame, chunks: DataFrame, probe: int = 16) ->
     # The range |p - q| = 1 is two equalities.
     at = sides.select("qid", "rank", "hit", "source_file", "side", (F.col("page_start") + F.col("side")).alias("page"))
     pages = chunks.select("chunk_id", "source_file", F.col("page_start").alias("page"))
-    near = at.join(pages, ["source_file", "page"])
+    near = small(at).join(pages, ["source_file", "page"])
     order = Window.partitionBy("qid", "rank").orderBy("side", "chunk_id")
     return near.withColumn("ord", F.row_number().over(order)).where(F.col("ord") <= probe).select("qid", "rank", "hit", "chunk_id", "page", "ord")
 
@@ -52,6 +54,6 @@ def add_neighbors(hits: DataFrame, chunks: DataFrame, per_doc: int = 2, total: i
         return pd.DataFrame(taken, columns=["qid", "pos", "neighbor_of", "chunk_id"])
 
     kinds = dict(free.dtypes)
-    chosen = free.groupBy("qid").applyInPandas(take, f"qid {kinds['qid']}, pos long, neighbor_of {kinds['hit']}, chunk_id {kinds['chunk_id']}")
+    chosen = small(free.groupBy("qid").applyInPandas(take, f"qid {kinds['qid']}, pos long, neighbor_of {kinds['hit']}, chunk_id {kinds['chunk_id']}"))
     return chosen.join(chunks.select("chunk_id", F.concat(F.lit(NEIGHBOR_MARK), F.substring("text", 1, chars)).alias("text")), "chunk_id").select("qid", "pos", "neighbor_of", "chunk_id", "text")
 
