@@ -438,7 +438,7 @@ def citation_validity(spark, sf_dir):
 @register()
 def groundedness(spark, sf_dir):
     """Answers made of a sentence of a document and one of another, citing both."""
-    top = lanes.top(lanes.bm25(chunks(spark, sf_dir), questions(spark, sf_dir)), 3, "s", 0).join(chunks(spark, sf_dir).select("chunk_id", "text"), "chunk_id").select("qid", (F.col("rank0") + 1).alias("rank"), "text")
+    top = lanes.small(lanes.bm25_top(chunks(spark, sf_dir), questions(spark, sf_dir), 3, "s", 0)).join(chunks(spark, sf_dir).select("chunk_id", "text"), "chunk_id").select("qid", (F.col("rank0") + 1).alias("rank"), "text")
     answers = questions(spark, sf_dir).select("qid", F.concat("question", F.lit(". [1]\nUnrelated claim here [2]. Uncited.")).alias("answer"))
     return evaluation.groundedness(answers, top)
 
