@@ -414,7 +414,7 @@ def eval_hit_mrr(spark, sf_dir):
 @register(f"""WITH {BM25}, f AS (SELECT DISTINCT qid, source FROM {top_sql('bm', 5, 's', 0)} JOIN documents ON doc_id = chunk_id), e AS (SELECT item_id AS qid, unnest(['src' || (item_id % 20), 'c1' || (item_id % 3)]) AS frag FROM benchmark)
 SELECT qid, round(avg(hit), 6) AS recall FROM (SELECT e.qid, frag, coalesce(max(contains(source, frag)::INT), 0) AS hit FROM e LEFT JOIN f USING (qid) GROUP BY ALL) GROUP BY qid""")
 def eval_recall(spark, sf_dir):
-    found = lanes.top(lanes.bm25(chunks(spark, sf_dir), questions(spark, sf_dir)), 5, "s", 0).join(chunks(spark, sf_dir).select("chunk_id", "source_file"), "chunk_id")
+    found = lanes.small(lanes.bm25_top(chunks(spark, sf_dir), questions(spark, sf_dir), 5, "s", 0)).join(chunks(spark, sf_dir).select("chunk_id", "source_file"), "chunk_id")
     q = F.col("qid")
     expected = questions(spark, sf_dir).select("qid", F.explode(F.array(F.concat(F.lit("SRC"), (q % 20).cast("string")), F.concat(F.lit("C1"), (q % 3).cast("string")))).alias("fragment"))
     return evaluation.recall_at_k(found, expected).withColumn("recall", F.round("recall", 6))
