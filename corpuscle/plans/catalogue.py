@@ -152,8 +152,8 @@ def metadata_boost(spark, sf_dir):
 
 @register(f"WITH {CHUNKS}, {BM25}, f AS (SELECT bm.* FROM bm JOIN chunks USING (chunk_id) WHERE file_type IN ('ipynb','py','r','rmd')) SELECT qid, rank0, chunk_id, score FROM {top_sql('f', 10, 'c', 0)}")
 def code_lane(spark, sf_dir):
-    scored = lanes.bm25(chunks(spark, sf_dir), questions(spark, sf_dir), lanes.code_filter())
-    return lanes.top(scored, lanes.narrow(20), "c", 3).select("qid", "rank0", "chunk_id", "score")
+    found = lanes.bm25_top(chunks(spark, sf_dir), questions(spark, sf_dir), lanes.narrow(20), "c", 3, lanes.code_filter())
+    return found.select("qid", "rank0", "chunk_id", "score")
 
 
 SIGNALS = (("domain", "ml", ("gradient", "neural net")), ("domain", "db", ("sql", "join_")), ("content", "book", ("textbook", "chapter")), ("content", "plot", ("geom_", "chart")))
