@@ -22,6 +22,15 @@ def large(spark):
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
 
 
+@pytest.fixture
+def measured(spark):
+    """Tables above 256 KB are not broadcast unasked, as where the queries are measured."""
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "256k")
+    yield
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
 def exchanged(df):
     """Keys by which a plan exchanges rows of chunks."""
     plan = df._jdf.queryExecution().executedPlan().toString()
@@ -133,3 +142,33 @@ def test_neighbours_meet_the_texts_by_broadcast(spark, large):
     hits = spark.createDataFrame([(1, 1, 4, "b", "pdf", 4)], "qid int, rank int, chunk_id long, source_file string, file_type string, page_start int")
     found = expansion.add_neighbors(hits, table)
     assert exchanged(found) == set() and [r["chunk_id"] for r in found.orderBy("pos").collect()] == [3, 5]
+
+
+def shuffled(spark, run):
+    """Rows that all jobs of ``run`` write to exchanges, those that it collects on its way among them."""
+    sc, gateway = spark.sparkContext._jsc.sc(), spark.sparkContext._gateway
+
+    def stages():
+        sc.listenerBus().waitUntilEmpty(30_000)
+        found = sc.statusStore().stageList(None, False, False, gateway.new_array(gateway.jvm.double, 0), None)
+        return {(s.stageId(), s.attemptId()): s.shuffleWriteRecords() for s in (found.apply(i) for i in range(found.size()))}
+
+    before = stages()
+    run()
+    return sum(n for k, n in stages().items() if k not in before)
+
+
+@pytest.mark.parametrize("name", ["metadata_boost"])
+def test_rows_exchanged_grow_as_the_chunks_do(spark, sf, measured, tmp_path, name):
+    con, rows = duckdb.connect(), {}
+    for copies in (4, 8):
+        d = tmp_path / str(copies)
+        d.mkdir()
+        for table, key in (("documents", "doc_id"), ("embeddings", "vec_id")):
+            con.execute(f"COPY (SELECT * REPLACE ({key} + i * 840 AS {key}) FROM '{sf}/{table}.parquet', range({copies}) r(i)) TO '{d}/{table}.parquet'")
+        con.execute(f"COPY (FROM '{sf}/benchmark.parquet') TO '{d}/benchmark.parquet'")
+        n = con.execute(f"SELECT count(*) FROM '{d}/documents.parquet'").fetchone()[0]
+        rows[copies] = n, shuffled(spark, lambda d=d: catalogue.QUERIES[name](spark, str(d)).collect())
+    (few, at_few), (many, at_many) = rows.values()
+    # An id for each chunk; all else is by question and task.
+    assert few <= at_few and at_many - at_few <= 2 * (many - few)
