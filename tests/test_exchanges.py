@@ -158,7 +158,7 @@ def shuffled(spark, run):
     return sum(n for k, n in stages().items() if k not in before)
 
 
-@pytest.mark.parametrize("name", ["metadata_boost"])
+@pytest.mark.parametrize("name", ["metadata_boost", "neighbor_pages"])
 def test_rows_exchanged_grow_as_the_chunks_do(spark, sf, measured, tmp_path, name):
     con, rows = duckdb.connect(), {}
     for copies in (4, 8):
